@@ -51,7 +51,8 @@ def chunked(
     """The columns ``carry`` and ``time_idx`` of every row and, per entry of ``arrays``, the
     values around it.
 
-    Column ``_pos`` is the row's 0-based place in those arrays. The arrays hold the ``before``
+    Column ``_pos`` is the row's 0-based place in those arrays and ``…_full`` says that an
+    array has no NULL. The arrays hold the ``before``
     rows ahead of it and the ``after`` rows behind it, as far as the series has them.
     ``indexed`` says that ``time_idx`` is already there.
     """
@@ -70,13 +71,12 @@ def chunked(
         .groupBy("_group", "_chunk")
         .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     )
-    spread = chunks.select(
-        "_chunk",
-        *[F.col(f"_rows._a_{n}").alias(n) for n in arrays],
-        F.posexplode("_rows").alias("_pos", "_row"),
-    )
+    listed = chunks.select("_chunk", "_rows", *[F.col(f"_rows._a_{n}").alias(n) for n in arrays])
+    full = [(~F.exists(n, lambda v: v.isNull())).alias(f"{n}_full") for n in arrays]
+    spread = listed.select("_chunk", *arrays, *full, F.posexplode("_rows").alias("_pos", "_row"))
+    flags = [f"{n}_full" for n in arrays]
     return (
-        spread.select("_chunk", "_pos", "_row.time_idx", *[f"_row.{c}" for c in carry], *arrays)
+        spread.select("_chunk", "_pos", "_row.time_idx", *[f"_row.{c}" for c in carry], *arrays, *flags)
         .where(home == F.col("_chunk"))
         .drop("_chunk")
     )
@@ -102,6 +102,11 @@ def has_future(array: str, rows: int) -> Column:
     return F.col("_pos") + rows < F.size(array)
 
 
+def whole(array: str, window: Column) -> Column:
+    """No NULL in the window; the test is skipped in chunks that hold no NULL at all."""
+    return F.col(f"{array}_full") | ~F.exists(window, lambda v: v.isNull())
+
+
 def lag_lead(
     df: DataFrame,
     lagged: Sequence[str],
@@ -114,11 +119,14 @@ def lag_lead(
     time_col: str = "datetime",
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
+    complete: bool = False,
 ) -> DataFrame:
     """Columns ``x_lag1`` … and ``y_lead1`` … by row position; steps off the series are NULL.
 
     Steps in ``masked`` get the constant ``mask_value``. A ``_noise`` suffix of a lagged column
-    is left out of the new names.
+    is left out of the new names. With ``complete`` only rows without NULL among the lags and
+    leads are kept; that needs steps 1..n and is tested on the arrays, so that no filter over
+    hundreds of columns has to be planned.
     """
     require_columns(df, [*lagged, *led, *groups, time_col, *order])
     names = unique([*lagged, *led])
@@ -127,6 +135,11 @@ def lag_lead(
     carry = [c for c in df.columns if c != "time_idx"]
     before, after = max(lags, default=0), max(leads, default=0)
     rows = chunked(df, carry, arrays, before, after, groups, time_col, order, chunk_rows)
+    if complete:
+        for c in lagged:
+            rows = rows.where(has_past(before + 1) & whole(place[c], F.slice(place[c], F.col("_pos") - (before - 1), F.lit(before))))
+        for c in led:
+            rows = rows.where(has_future(place[c], after) & whole(place[c], future(place[c], after)))
     new = {}
     for c in lagged:
         base = c.removesuffix(NOISE_SUFFIX)
@@ -200,13 +213,9 @@ def flat_matrix(
         time_col,
         order,
         chunk_rows,
+        complete=drop_nulls,
     )
-    wide = noise_rename(wide)
-    if drop_nulls:
-        bases = [c.removesuffix(NOISE_SUFFIX) for c in series]
-        new = [n for b in bases for n in step_columns(b, "lag", active)]
-        wide = drop_incomplete(wide, [*new, *[n for t in targets for n in step_columns(t, "lead", leads)]])
-    return wide
+    return noise_rename(wide)
 
 
 def flat_arrays(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
