@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loadcast.catalog.storage import split_panel
 from loadcast.catalog.tables import (
     BOTH,
-    HOURLY,
     IDX,
     LEAD,
     METRICS,
@@ -17,7 +16,6 @@ from loadcast.catalog.tables import (
     VALUE,
     Registry,
     both,
-    columns,
     frame_sql,
     gauss_sql,
     hourly,
@@ -189,6 +187,3 @@ def _(spark, sf):
     models = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("y_pred")) for m, p in forecasts.items()])
     scored = windows.select(F.col("Y").alias("y_true"), F.inline(models))
     return rank_models(forecast_long(scored, ["model"]), 2)
-
-
-__all__ = ["HOURLY", "REGISTRY", "columns"]

@@ -32,14 +32,7 @@ from loadcast.functions.columns import (
     select_columns,
 )
 from loadcast.functions.noise import add_noise
-from loadcast.operators.clean import (
-    dedup_first,
-    drop_bad_time,
-    ffill,
-    hourly_first,
-    hourly_grid,
-    union_days,
-)
+from loadcast.operators.clean import dedup_first, drop_bad_time, ffill, hourly_first, hourly_grid
 from loadcast.operators.encode import label_encode, label_fit
 from loadcast.operators.metrics import attach_forecast, forecast_long
 from loadcast.operators.scale import fit_scaler, scale_transform
@@ -180,6 +173,3 @@ def _(spark, sf):
 ))
 def _(spark, sf):
     return ffill(hourly_grid(hourly(spark, sf)))
-
-
-__all__ = ["REGISTRY", "union_days"]

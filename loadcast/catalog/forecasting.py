@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loadcast.catalog.storage import split_panel
 from loadcast.catalog.tables import (
     IDX,
@@ -15,19 +13,16 @@ from loadcast.catalog.tables import (
     SPLIT,
     VALUE,
     Registry,
-    columns,
     frame_sql,
     gauss_sql,
     hourly,
     r,
-    unpack,
     windows_sql,
 )
 from loadcast.operators.linear import linear_fit, linear_predict, ridge_grid
 from loadcast.operators.metrics import forecast_long
 from loadcast.operators.scale import fit_scaler, scale_transform
 from loadcast.operators.score import score_external
-from loadcast.operators.split import split_keep
 from loadcast.operators.windows import sequence_windows
 from loadcast.plans.evaluate import evaluate
 from loadcast.plans.scenario import (
@@ -180,6 +175,3 @@ def _(spark, sf):
     weights, intercept = model.weights, model.intercept
     cases = scenarios(("error",), SERIES, HISTORIES, LEAD)
     return run_scenarios(base, cases, state, lambda x: x @ weights + intercept)
-
-
-__all__ = ["REGISTRY", "F", "columns", "split_keep", "unpack"]

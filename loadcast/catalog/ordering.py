@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loadcast.catalog.storage import split_panel
 from loadcast.catalog.tables import (
-    BOTH,
     EVENT_KEY,
     HOURLY,
     NAIVE,
@@ -85,6 +82,3 @@ def _(spark, sf):
 ))
 def _(spark, sf):
     return shuffle_batches(raw(spark, sf), 256, ["event_id"])
-
-
-__all__ = ["BOTH", "F", "REGISTRY"]

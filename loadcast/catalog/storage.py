@@ -12,7 +12,6 @@ from loadcast.catalog.tables import (
     LEAD,
     NAIVE,
     RAW,
-    SCALER,
     SEQ,
     SHARES,
     SPLIT,
@@ -264,6 +263,3 @@ def _(spark, sf):
 @REGISTRY.add("split_keep", f"WITH {SPLIT} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, split FROM parts WHERE split IN ('val', 'test')")
 def _(spark, sf):
     return split_keep(split_panel(spark, sf), ["val", "test"])
-
-
-__all__ = ["REGISTRY", "SCALER", "split_panel"]

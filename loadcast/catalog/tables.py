@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadcast.functions.columns import GLOBAL_GROUP
 from loadcast.operators.clean import hourly_first, union_days
 from loadcast.operators.windows import sequence_windows
 from loadcast.plans.evaluate import naive_forecast
@@ -167,6 +166,3 @@ def gauss_sql(text: str) -> str:
     u1 = f"(({hash_sql(text)} + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
     u2 = f"(({hash_sql(text, 1)} + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
     return f"(sqrt(-2 * ln({u1})) * cos({u2} * 2 * pi()))"
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["GLOBAL_GROUP"]

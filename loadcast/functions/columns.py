@@ -77,6 +77,17 @@ def as_double(df: DataFrame, name: str) -> Column:
     return column.cast("double")
 
 
+def quoted(name: str) -> str:
+    """A column name as it is written inside a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def double_sql(df: DataFrame, name: str) -> str:
+    """``as_double`` as SQL text; frames of hundreds of columns are built from one list of texts."""
+    inner = f"int({quoted(name)})" if isinstance(df.schema[name].dataType, T.BooleanType) else quoted(name)
+    return f"double({inner})"
+
+
 def label_text(name: str) -> Column:
     """The category as text, with a label of its own for NULL."""
     return F.coalesce(F.col(name).cast("string"), F.lit(NULL_LABEL))
@@ -91,7 +102,13 @@ def group_id(groups: Sequence[str]) -> Column:
 
 def noise_rename(df: DataFrame) -> DataFrame:
     """Every ``x_noise`` column takes the place and name of ``x``."""
+    if not any(c.endswith(NOISE_SUFFIX) for c in df.columns):
+        return df
     noisy = {c.removesuffix(NOISE_SUFFIX): c for c in df.columns if c.endswith(NOISE_SUFFIX)}
-    replaced = [F.col(noisy.get(c, c)).alias(c) for c in df.columns if not c.endswith(NOISE_SUFFIX)]
-    added = [F.col(c).alias(base) for base, c in noisy.items() if base not in df.columns]
-    return df.select(*replaced, *added)
+    replaced = [
+        f"{quoted(noisy[c])} AS {quoted(c)}" if c in noisy else quoted(c)
+        for c in df.columns
+        if not c.endswith(NOISE_SUFFIX)
+    ]
+    added = [f"{quoted(c)} AS {quoted(base)}" for base, c in noisy.items() if base not in df.columns]
+    return df.selectExpr(*replaced, *added)

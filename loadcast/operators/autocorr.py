@@ -32,8 +32,7 @@ def acf(
     means = rows.groupBy(group).agg(F.avg("_x").alias("_mean"), F.count("_x").alias("_n"))
     centred = rows.join(broadcast_if_bounded(means), group).withColumn("_x", F.col("_x") - F.col("_mean"))
     spread = chunked(centred, [group, "_n"], {"_xs": F.col("_x")}, lags, 0, [group], time_col, order)
-    x = F.get("_xs", F.col("_pos"))
-    products = [F.sum(x * F.get("_xs", F.col("_pos") - k)).alias(f"_p{k}") for k in range(lags + 1)]
+    products = [F.expr(f"sum(get(_xs, _pos) * get(_xs, _pos - {k}))").alias(f"_p{k}") for k in range(lags + 1)]
     sums = spread.groupBy(group).agg(F.first("_n").alias("_n"), *products)
     table = sums.select(
         group, "_n", "_p0", F.posexplode(F.array(*[f"_p{k}" for k in range(lags + 1)])).alias("lag", "_p")

@@ -39,9 +39,11 @@ def label_encode(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -
 
     def encode(frame: DataFrame, name: str) -> DataFrame:
         codes = dictionary.where(F.col("col") == name).select("label", "code")
-        known = broadcast_if_bounded(codes.select(F.col("label").alias("_label"), F.col("code").alias("_code")))
-        other = codes.where(F.col("label") == UNKNOWN_LABEL).first()
-        joined = frame.withColumn("_label", label_text(name)).join(known, "_label", "left")
+        known = broadcast_if_bounded(codes)
+        other = known.where(F.col("label") == UNKNOWN_LABEL).first()
+        joined = frame.withColumn("_label", label_text(name)).join(
+            known.toDF("_label", "_code"), "_label", "left"
+        )
         code = F.coalesce("_code", F.lit(other["code"] if other else None)).cast("int")
         return joined.withColumn(name, code).select(*frame.columns)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.functions.columns import quoted
+
 METRICS = ("mae", "mse", "rmse", "correlacao_pearson", "r2")
 
 
@@ -37,10 +39,10 @@ def forecast_wide(
 ) -> DataFrame:
     """Arrays as columns ``{target}_lead{k}_real`` and ``{target}_lead{k}_pred``."""
     steps = range(1, leads + 1)
-    return df.select(
-        *keep,
-        *[F.get("y_true", F.lit(k - 1)).alias(f"{target}_lead{k}_{truth}") for k in steps],
-        *[F.get("y_pred", F.lit(k - 1)).alias(f"{target}_lead{k}_pred") for k in steps],
+    return df.selectExpr(
+        *map(quoted, keep),
+        *[f"get(y_true, {k - 1}) AS {quoted(f'{target}_lead{k}_{truth}')}" for k in steps],
+        *[f"get(y_pred, {k - 1}) AS {quoted(f'{target}_lead{k}_pred')}" for k in steps],
     )
 
 

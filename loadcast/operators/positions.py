@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from loadcast.functions.columns import group_id
 
 DAY_SECONDS = 86_400
 TARGET_BUCKET_ROWS = 250_000
+# Widths in microseconds that a rank is narrowed down by, and the rows one task may rank.
+WIDTHS = (DAY_SECONDS * 1_000_000, 60 * 1_000_000, 1)
+RANK_ROWS = 1_000_000
 
 
 def time_bucket(time: Column, seconds: int = DAY_SECONDS) -> Column:
@@ -88,76 +91,89 @@ def row_boundaries(
     ranks: Sequence[Column],
     order: Sequence[str],
     time_col: str = "datetime",
+    rank_rows: int = RANK_ROWS,
 ) -> list[dict | None]:
     """The row found at each 1-based rank in the order (time, ``order``), as column values.
 
-    ``ranks`` are expressions over the total row count ``_total``. The time axis is narrowed
-    from days to minutes to single timestamps by counting; rows themselves are ranked only
-    among those that share the boundary timestamp. One row per rank reaches the driver and a
-    rank of 0 gives None. Rows without a time are not counted.
+    ``ranks`` are expressions over the total row count ``_total``; ``order`` must make rows of
+    equal time distinct. The time axis is narrowed by counting, from days to minutes to single
+    timestamps, until the bucket that holds the rank has at most ``rank_rows`` rows; only those
+    are ranked. One row per rank reaches the driver; a rank of 0 gives None. Rows without a
+    time are not counted.
     """
     rows = df.where(F.col(time_col).isNotNull()).withColumn("_us", F.unix_micros(time_col))
-    widths = [DAY_SECONDS * 1_000_000, 60 * 1_000_000, 1]
-    first = _micros_bucket(F.col("_us"), widths[0])
-    counts = rows.groupBy(first.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy()
+    counts = rows.groupBy(_micros_bucket(F.col("_us"), WIDTHS[0]).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.withColumns(
         {
-            "_total": F.sum("_n").over(whole),
+            "_total": F.sum("_n").over(Window.partitionBy()),
             "_before": F.coalesce(F.sum("_n").over(running), F.lit(0)),
         }
     )
     wanted = F.array(*[r.cast("bigint") for r in ranks])
+    rest = F.col("_rank") - F.col("_before")
     hits = (
         totals.select("_b", "_n", "_before", F.posexplode(wanted).alias("_which", "_rank"))
-        .where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
-        .select("_which", "_b", (F.col("_rank") - F.col("_before")).alias("_rest"), "_n")
+        .where((rest > 0) & (rest <= F.col("_n")))
+        .select("_which", "_b", rest.alias("_rest"), "_n")
         .collect()
     )
     found = {h["_which"]: (h["_b"], h["_rest"], h["_n"]) for h in hits}
-
-    for parent, width in zip(widths, widths[1:]):
-        if not found:
+    width = WIDTHS[0]
+    for finer in WIDTHS[1:]:
+        if all(n <= rank_rows for _, _, n in found.values()):
             break
-        parents = sorted({b for b, _, _ in found.values()})
-        near = rows.where(_any_between(time_col, parents, parent))
-        fine = near.groupBy(
-            _micros_bucket(F.col("_us"), parent).alias("_p"),
-            _micros_bucket(F.col("_us"), width).alias("_b"),
-        ).agg(F.count(F.lit(1)).alias("_n"))
-        along = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        fine = fine.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
-        tests = [
-            (F.col("_p") == p) & (F.col("_before") < rest) & (F.lit(rest) <= F.col("_before") + F.col("_n"))
-            for p, rest, _ in found.values()
-        ]
-        hits = fine.where(_any(tests)).collect()
-        found = {
-            which: next(
-                (h["_b"], rest - h["_before"], h["_n"])
-                for h in hits
-                if h["_p"] == p and h["_before"] < rest <= h["_before"] + h["_n"]
-            )
-            for which, (p, rest, _) in found.items()
-        }
-
-    out: list[dict | None] = [None] * len(ranks)
-    split_times = {w: f for w, f in found.items() if f[1] < f[2]}
-    ties: dict = {}
-    if split_times and order:
-        same = rows.where(_any_between(time_col, sorted({f[0] for f in split_times.values()}), 1))
-        rank = F.row_number().over(Window.partitionBy("_us").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
-        picked = same.select("_us", *order, rank.alias("_rank")).where(
-            _any([(F.col("_us") == us) & (F.col("_rank") == rest) for us, rest, _ in split_times.values()])
+        found = _narrow(rows, found, time_col, width, finer)
+        width = finer
+    picked = _pick(rows, found, order, time_col, width)
+    return [picked.get(i) for i in range(len(ranks))]
+
+
+def _narrow(rows: DataFrame, found: dict, time_col: str, width: int, finer: int) -> dict:
+    """The finer bucket that holds each wanted rank, found by counting inside the coarse ones."""
+    fine = (
+        rows.where(_in_buckets(time_col, {b for b, _, _ in found.values()}, width))
+        .groupBy(
+            _micros_bucket(F.col("_us"), width).alias("_p"),
+            _micros_bucket(F.col("_us"), finer).alias("_b"),
         )
-        kinds = {f.name: f.dataType for f in df.schema.fields}
-        ties = {
-            (r["_us"], r["_rank"]): {c: F.lit(r[c]).cast(kinds[c]) for c in order}
-            for r in picked.collect()
-        }
-    for which, (us, rest, _) in found.items():
-        out[which] = {"us": us, "ties": ties.get((us, rest))}
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    along = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
+
+    def holds(p: int, rest: int) -> Column:
+        inside = F.lit(rest) - F.col("_before")
+        return (F.col("_p") == p) & (inside > 0) & (inside <= F.col("_n"))
+
+    hits = fine.where(_any([holds(p, rest) for p, rest, _ in found.values()])).collect()
+    return {
+        which: next(
+            (h["_b"], rest - h["_before"], h["_n"])
+            for h in hits
+            if h["_p"] == p and 0 < rest - h["_before"] <= h["_n"]
+        )
+        for which, (p, rest, _) in found.items()
+    }
+
+
+def _pick(rows: DataFrame, found: dict, order: Sequence[str], time_col: str, width: int) -> dict:
+    """The time and order columns of each wanted row, ranked within its bucket."""
+    if not found:
+        return {}
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    near = rows.where(_in_buckets(time_col, {b for b, _, _ in found.values()}, width))
+    bucket = _micros_bucket(F.col("_us"), width)
+    within = Window.partitionBy("_b").orderBy("_us", *[F.col(c).asc_nulls_first() for c in order])
+    ranked = near.select(bucket.alias("_b"), "_us", *order).withColumn("_rank", F.row_number().over(within))
+    tests = [(F.col("_b") == b) & (F.col("_rank") == rest) for b, rest, _ in found.values()]
+    at = {(h["_b"], h["_rank"]): h for h in ranked.where(_any(tests)).collect()}
+    out = {}
+    for which, (b, rest, _) in found.items():
+        row = at[b, rest]
+        out[which] = {"us": row["_us"], "ties": {c: F.lit(row[c]).cast(kinds[c]) for c in order}}
     return out
 
 
@@ -181,12 +197,12 @@ def _any(tests: Sequence[Column]) -> Column:
     return result
 
 
-def _any_between(time_col: str, buckets: Sequence[int], width: int) -> Column:
-    """Rows whose time lies in one of the buckets, as plain bounds on the time column."""
+def _in_buckets(time_col: str, buckets: Iterable[int], width: int) -> Column:
+    """Rows whose time lies in one of the buckets, as plain bounds that a scan can use."""
     return _any(
         [
             (F.col(time_col) >= F.timestamp_micros(F.lit(b * width)))
             & (F.col(time_col) < F.timestamp_micros(F.lit((b + 1) * width)))
-            for b in buckets
+            for b in sorted(set(buckets))
         ]
     )

@@ -17,8 +17,10 @@ from loadcast.functions.clock import TIME_PARTS
 from loadcast.functions.columns import (
     NOISE_SUFFIX,
     as_double,
+    double_sql,
     group_id,
     noise_rename,
+    quoted,
     require_columns,
     unique,
 )
@@ -140,17 +142,14 @@ def lag_lead(
             rows = rows.where(has_past(before + 1) & whole(place[c], F.slice(place[c], F.col("_pos") - (before - 1), F.lit(before))))
         for c in led:
             rows = rows.where(has_future(place[c], after) & whole(place[c], future(place[c], after)))
-    new = {}
+    new = []
     for c in lagged:
         base = c.removesuffix(NOISE_SUFFIX)
-        for k in lags:
-            new[f"{base}_lag{k}"] = F.get(F.col(place[c]), F.col("_pos") - k)
-        for k in masked:
-            new[f"{base}_lag{k}"] = F.lit(float(mask_value))
+        new += [f"get({place[c]}, _pos - {k}) AS {quoted(f'{base}_lag{k}')}" for k in lags]
+        new += [f"double({float(mask_value)!r}) AS {quoted(f'{base}_lag{k}')}" for k in masked]
     for c in led:
-        for k in leads:
-            new[f"{c}_lead{k}"] = F.get(F.col(place[c]), F.col("_pos") + k)
-    return rows.select(*carry, "time_idx", *[v.alias(n) for n, v in new.items()])
+        new += [f"get({place[c]}, _pos + {k}) AS {quoted(f'{c}_lead{k}')}" for k in leads]
+    return rows.selectExpr(*map(quoted, [*carry, "time_idx"]), *new)
 
 
 def time_lag_lead(
@@ -224,8 +223,8 @@ def flat_arrays(df: DataFrame, features: Sequence[str], targets: Sequence[str])
     keys = [c for c in df.columns if c not in used]
     return df.select(
         *keys,
-        F.array(*[as_double(df, c) for c in features]).alias("X"),
-        F.array(*[as_double(df, c) for c in targets]).alias("Y"),
+        F.expr(f"array({', '.join(double_sql(df, c) for c in features)})").alias("X"),
+        F.expr(f"array({', '.join(double_sql(df, c) for c in targets)})").alias("Y"),
     )
 
 

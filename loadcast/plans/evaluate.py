@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.noise import noise_array
 from loadcast.operators.encode import label_decode
-from loadcast.operators.metrics import forecast_long, metrics_by_country, metrics_per_lead
+from loadcast.operators.metrics import forecast_long, metrics_by, metrics_by_country
 from loadcast.operators.scale import inverse_arrays
 from loadcast.operators.score import score_external
 
@@ -62,13 +62,4 @@ def noise_degradation(
     levels = windows.withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
     noisy = levels.withColumn("X", noise_array(F.col("X"), key, F.col("sigma"), seed, sentinel))
     scored = score_external(noisy.select(*keep, "sigma", "X", "Y"), predict)
-    return metrics_by_sigma(forecast_long(scored, [*keep, "sigma"]), keep)
-
-
-def metrics_by_sigma(long: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    from loadcast.operators.metrics import metrics_by
-
-    return metrics_by(long, [[]], [*keep, "sigma"])
-
-
-__all__ = ["evaluate", "forecasts", "metrics_per_lead", "naive_forecast", "noise_degradation"]
+    return metrics_by(forecast_long(scored, [*keep, "sigma"]), [[]], [*keep, "sigma"])

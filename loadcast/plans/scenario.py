@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import CYCLE_COLUMNS, TIME_PARTS, time_cycle, time_parts
+from loadcast.functions.clock import CYCLE_COLUMNS, time_cycle, time_parts
 from loadcast.functions.columns import NOISE_SUFFIX
 from loadcast.functions.noise import add_noise
+from loadcast.operators.bounds import local_if_bounded
 from loadcast.operators.encode import label_encode, label_fit
 from loadcast.operators.sample import sample_per_group
 from loadcast.operators.scale import column_std, fit_scaler, scale_transform
@@ -98,7 +99,10 @@ def fit_cuts(rows: DataFrame) -> SplitCuts:
 def fit_training_state(rows: DataFrame, cuts: SplitCuts, method: str = "standard") -> TrainingState:
     """Labels and scaler learned on training rows only."""
     train = split_keep(split_fraction(rows, cuts), ["train"]).withColumn("year", F.year("datetime"))
-    return TrainingState(label_fit(train, ["country", "year"]), fit_scaler(train, [VALUE]), method)
+    dictionary = label_fit(train, ["country", "year"])
+    scaler = fit_scaler(train, [VALUE])
+    # Scenarios look the state up many times; a local copy saves fitting it anew each time.
+    return TrainingState(local_if_bounded(dictionary) or dictionary, local_if_bounded(scaler) or scaler, method)
 
 
 def with_noise(rows: DataFrame, level: float, seed: int = SEED) -> DataFrame:
@@ -181,5 +185,3 @@ def run_scenarios(
         out = named if out is None else out.unionByName(named)
     return out
 
-
-__all__ = ["BASE_FEATURES", "TIME_PARTS", "Scenario", "TrainingState", "run_scenarios", "scenarios"]

@@ -13,6 +13,7 @@ from loadcast.functions.columns import (
     feature_target_lists,
     group_id,
     numeric_columns,
+    quoted,
     require_columns,
     unique,
 )
@@ -124,8 +125,9 @@ def read_flat_split(spark: SparkSession, path: str, split: str, arrays: bool = F
     With ``arrays`` the features and targets come as ``X`` and ``Y``.
     """
     meta = _split_meta(spark, path, split, "flat")
-    rows = read_split(spark, path, split).select(
-        *meta["key_cols"], *[F.col(c).cast("float").alias(c) for c in [*meta["feature_cols"], *meta["target_cols"]]]
+    values = [*meta["feature_cols"], *meta["target_cols"]]
+    rows = read_split(spark, path, split).selectExpr(
+        *map(quoted, meta["key_cols"]), *[f"float({quoted(c)}) AS {quoted(c)}" for c in values]
     )
     return flat_arrays(rows, meta["feature_cols"], meta["target_cols"]) if arrays else rows
 
