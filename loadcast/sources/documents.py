@@ -37,7 +37,7 @@ LOAD_ITEM = {
 
 def read_load_documents(spark: SparkSession, path: str) -> DataFrame:
     """Landed files, one document per row as ``xml``; folders ``country=XX`` give the series."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "xml")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "xml")
 
 
 def parse_load_xml(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("country",)) -> DataFrame:
