@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.operators.score import score_external
+from loadcast.operators.windows import no_gaps
 
 
 @dataclass(frozen=True)
@@ -98,11 +99,8 @@ def cross_product_table(df: DataFrame, x: str = "X", y: str = "Y", by: Sequence[
             columns.append(pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1))))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "i", "s"])
 
-    def whole(c: str) -> Column:
-        return ~F.exists(F.col(c), lambda v: v.isNull() | F.isnan(v))
-
     doubles = df.select(*by, F.col(x).cast("array<double>").alias("_x"), F.col(y).cast("array<double>").alias("_y"))
-    doubles = doubles.where(whole("_x") & whole("_y"))
+    doubles = doubles.where(no_gaps(F.col("_x")) & no_gaps(F.col("_y")))
     out_schema = (by_types + ", " if by_types else "") + "i int, s array<double>"
     blocks = doubles.mapInArrow(partials, out_schema)
     cells = blocks.select(*by, "i", F.posexplode("s").alias("j", "_v"))

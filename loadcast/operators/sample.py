@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.columns import group_id
 from loadcast.functions.noise import hash_number
 from loadcast.operators.bounds import broadcast_if_bounded
-from loadcast.operators.positions import with_positions
+from loadcast.operators.positions import TARGET_BUCKET_ROWS, with_positions
 
-# Hash buckets per group: the leading 12 of 48 bits.
-_BUCKET_BITS = 36
+HASH_BITS = 48
+MAX_BUCKET_BITS = 20
 
 
-def _hash_positions(df: DataFrame, key: Sequence[str], seed: int, groups: Sequence[str], out: str) -> DataFrame:
-    row_key: Column = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+def _hashed(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
+    """Rows with their ``_hash`` and its leading bits as ``_slot``.
+
+    The number of slots follows the number of rows, so that one slot of the largest group is
+    still a task of ordinary size.
+    """
+    bits = min(max(math.ceil(math.log2(max(df.count(), 1) / TARGET_BUCKET_ROWS)), 0) + 2, MAX_BUCKET_BITS)
+    row_key = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     hashed = df.withColumn("_hash", hash_number(row_key, seed))
-    bucket = F.shiftright("_hash", _BUCKET_BITS)
-    order = [F.col("_hash"), *[F.col(c) for c in key]]
-    return with_positions(hashed, bucket, order, groups, out).drop("_hash")
+    return hashed.withColumn("_slot", F.shiftright("_hash", HASH_BITS - bits))
 
 
 def sample_per_group(
@@ -30,17 +35,34 @@ def sample_per_group(
     """``round(fraction * n)`` rows of every group without replacement (half rounds to even).
 
     Rows are taken in the order of a seeded hash of their key, so the sample is exact and the
-    same under any partitioning.
+    same under any partitioning. Counts per hash slot tell in which slot a group's sample ends:
+    rows of earlier slots are kept where they are, and only that slot is ranked.
     """
-    counts = df.groupBy(group_id(groups).alias("_g")).agg(
-        F.bround(F.count(F.lit(1)).cast("double") * F.lit(float(fraction)), 0).cast("bigint").alias("_keep")
+    hashed = _hashed(df, key, seed).withColumn("_group", group_id(groups))
+    counts = hashed.groupBy("_group", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy("_group").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_n").over(Window.partitionBy("_group")).cast("double")
+    rest = F.col("_keep") - F.col("_before")
+    ends = (
+        counts.withColumns(
+            {
+                "_keep": F.bround(total * F.lit(float(fraction)), 0).cast("bigint"),
+                "_before": F.coalesce(F.sum("_n").over(running), F.lit(0)),
+            }
+        )
+        .where((rest > 0) & (rest <= F.col("_n")))
+        .select("_group", F.col("_slot").alias("_end"), rest.alias("_rest"))
     )
-    ranked = _hash_positions(df, key, seed, groups, "_rank").withColumn("_g", group_id(groups))
-    kept = ranked.join(broadcast_if_bounded(counts), "_g").where(F.col("_rank") < F.col("_keep"))
-    return kept.select(*df.columns)
+    bounded = hashed.join(broadcast_if_bounded(ends), "_group")
+    sure = bounded.where(F.col("_slot") < F.col("_end"))
+    order = Window.partitionBy("_group").orderBy("_hash", *key)
+    edge = bounded.where(F.col("_slot") == F.col("_end")).withColumn("_rank", F.row_number().over(order))
+    return sure.select(*df.columns).union(edge.where(F.col("_rank") <= F.col("_rest")).select(*df.columns))
 
 
 def shuffle_batches(df: DataFrame, size: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """A seeded shuffle: ``shuffle_rank`` is the new position, ``batch_id`` the batch it falls in."""
-    ranked = _hash_positions(df, key, seed, (), "shuffle_rank")
+    hashed = _hashed(df, key, seed)
+    order = [F.col("_hash"), *[F.col(c) for c in key]]
+    ranked = with_positions(hashed, F.col("_slot"), order, (), "shuffle_rank").drop("_hash", "_slot")
     return ranked.withColumn("batch_id", F.expr(f"shuffle_rank div {int(size)}"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcast.functions.clock import TIME_PARTS
 from loadcast.functions.columns import (
@@ -28,7 +29,8 @@ from loadcast.operators.bounds import broadcast_if_bounded
 from loadcast.operators.clean import hourly_grid
 from loadcast.operators.positions import DAY_SECONDS, time_idx
 
-MIN_CHUNK_ROWS = 1024
+MIN_CHUNK_ROWS = 256
+DOUBLES = T.ArrayType(T.DoubleType())
 COUNTRY = ("country",)
 
 
@@ -54,7 +56,7 @@ def chunked(
     values around it.
 
     Column ``_pos`` is the row's 0-based place in those arrays and ``…_full`` says that an
-    array has no NULL. The arrays hold the ``before``
+    array of doubles has no gaps. The arrays hold the ``before``
     rows ahead of it and the ``after`` rows behind it, as far as the series has them.
     ``indexed`` says that ``time_idx`` is already there.
     """
@@ -74,9 +76,10 @@ def chunked(
         .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     )
     listed = chunks.select("_chunk", "_rows", *[F.col(f"_rows._a_{n}").alias(n) for n in arrays])
-    full = [(~F.exists(n, lambda v: v.isNull())).alias(f"{n}_full") for n in arrays]
-    spread = listed.select("_chunk", *arrays, *full, F.posexplode("_rows").alias("_pos", "_row"))
-    flags = [f"{n}_full" for n in arrays]
+    plain = [n for n in arrays if listed.schema[n].dataType == DOUBLES]
+    flags = [f"{n}_full" for n in plain]
+    flagged = listed.select("*", *[no_gaps(F.col(n)).alias(f) for n, f in zip(plain, flags)])
+    spread = flagged.select("_chunk", *arrays, *flags, F.posexplode("_rows").alias("_pos", "_row"))
     return (
         spread.select("_chunk", "_pos", "_row.time_idx", *[f"_row.{c}" for c in carry], *arrays, *flags)
         .where(home == F.col("_chunk"))
@@ -94,6 +97,15 @@ def future(array: str, length: int) -> Column:
     return F.slice(F.col(array), F.col("_pos") + 2, F.lit(length))
 
 
+def cut_out(window: Column) -> Column:
+    """The fields of the struct as columns, as a generator of one row.
+
+    Later expressions, which may use lambdas, are not merged below a generator, so they see
+    the short window and not the arrays of the whole chunk.
+    """
+    return F.inline(F.array(window))
+
+
 def has_past(rows: int) -> Column:
     """At least ``rows`` rows up to and including the current one."""
     return F.col("_pos") >= rows - 1
@@ -104,9 +116,19 @@ def has_future(array: str, rows: int) -> Column:
     return F.col("_pos") + rows < F.size(array)
 
 
+def no_gaps(window: Column) -> Column:
+    """No NULL and no NaN in an array of doubles.
+
+    ``arrays_overlap`` is true if NaN occurs and NULL if a NULL does, and unlike a test with a
+    lambda it is compiled together with the operators around it. That matters here: outside
+    compiled code every row would carry a copy of its whole chunk.
+    """
+    return F.coalesce(~F.arrays_overlap(window, F.array(F.lit(float("nan")))), F.lit(False))
+
+
 def whole(array: str, window: Column) -> Column:
-    """No NULL in the window; the test is skipped in chunks that hold no NULL at all."""
-    return F.col(f"{array}_full") | ~F.exists(window, lambda v: v.isNull())
+    """No gaps in the window; the test is skipped in chunks that have none at all."""
+    return F.col(f"{array}_full") | no_gaps(window)
 
 
 def lag_lead(
@@ -228,6 +250,53 @@ def flat_arrays(df: DataFrame, features: Sequence[str], targets: Sequence[str])
     )
 
 
+def flat_windows(
+    df: DataFrame,
+    features: Sequence[str],
+    series: Sequence[str],
+    targets: Sequence[str],
+    lags: int,
+    leads: int,
+    histories: Sequence[int] = (),
+    mask_value: float = 0.0,
+    groups: Sequence[str] = COUNTRY,
+    time_col: str = "datetime",
+    order: Sequence[str] = (),
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """The flat matrix as ``X`` and ``Y`` arrays, for several histories from one pass.
+
+    ``X`` holds the features and then the lags 1..``lags`` of each series; lags beyond a history
+    hold ``mask_value``. A row appears once per entry of ``histories`` (column ``seq_len``) for
+    which its lags and leads are complete. Equal to ``flat_matrix`` per history, without
+    hundreds of columns and with a single shuffle for all of them.
+    """
+    wanted = [min(h, lags) for h in histories or [lags]]
+    require_columns(df, [*features, *series, *targets, *groups, time_col, *order])
+    names = unique([*series, *targets])
+    place = {c: f"_v{i}" for i, c in enumerate(names)}
+    arrays = {place[c]: as_double(df, c) for c in names}
+    vector = F.expr(f"array({', '.join(double_sql(df, c) for c in features)})")
+    kept = unique([*groups, time_col, *order])
+    rows = chunked(
+        df.withColumn("_f", vector), [*kept, "_f"], arrays, max(wanted), leads, groups, time_col, order, chunk_rows
+    )
+    for c in targets:
+        rows = rows.where(has_future(place[c], leads) & whole(place[c], future(place[c], leads)))
+
+    def lagged(h: int) -> Column:
+        parts, complete = [F.col("_f")], has_past(h + 1)
+        for c in series:
+            seen = F.slice(place[c], F.col("_pos") - (h - 1), F.lit(h))
+            complete = complete & whole(place[c], seen)
+            parts += [F.reverse(seen), F.array_repeat(F.lit(float(mask_value)), lags - h)]
+        return F.struct(F.lit(h).alias("seq_len"), F.when(complete, F.concat(*parts)).alias("X"))
+
+    y = F.concat(*[future(place[c], leads) for c in targets])
+    spread = rows.select(*kept, "time_idx", y.alias("Y"), F.inline(F.array(*map(lagged, wanted))))
+    return spread.where(F.col("X").isNotNull())
+
+
 def sequence_windows(
     df: DataFrame,
     features: Sequence[str],
@@ -253,16 +322,11 @@ def sequence_windows(
     rows = chunked(
         df, kept, arrays, seq_len - 1, lead, groups, time_col, order, chunk_rows
     ).where(has_past(seq_len) & has_future("_xs", lead))
-    out = rows.select(
-        *kept,
-        "time_idx",
-        F.flatten(past("_xs", seq_len)).alias("X"),
-        F.flatten(future("_ys", lead)).alias("Y"),
+    window = F.struct(
+        F.flatten(past("_xs", seq_len)).alias("X"), F.flatten(future("_ys", lead)).alias("Y")
     )
-    if drop_nulls:
-        for c in ("X", "Y"):
-            out = out.where(~F.exists(c, lambda v: v.isNull()))
-    return out
+    out = rows.select(*kept, "time_idx", cut_out(window))
+    return out.where(no_gaps(F.col("X")) & no_gaps(F.col("Y"))) if drop_nulls else out
 
 
 def window_country_id(df: DataFrame, code_col: str = "country") -> DataFrame:
@@ -325,13 +389,14 @@ def panel_windows(
         df, kept, arrays, encoder - 1, decoder, groups, time_col, order, chunk_rows, indexed=True
     ).where(has_past(encoder) & has_future("_ys", decoder))
     relative = [(i - encoder) / encoder for i in range(encoder + decoder)]
-    return rows.select(
-        *kept,
-        "time_idx",
+    window = F.struct(
         past("_ys", encoder).alias("encoder_target"),
         future("_ys", decoder).alias("decoder_target"),
         F.flatten(past("_ks", encoder)).alias("encoder_known"),
         F.flatten(future("_ks", decoder)).alias("decoder_known"),
+    )
+    return rows.select(*kept, "time_idx", cut_out(window)).select(
+        "*",
         F.lit(encoder).alias("encoder_length"),
         F.array(*map(F.lit, relative)).alias("relative_time_idx"),
     )

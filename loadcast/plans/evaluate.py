@@ -40,10 +40,10 @@ def forecasts(
     return scored
 
 
-def evaluate(windows: DataFrame, predict: Predict, **options) -> DataFrame:
-    """The five metrics overall, per step, per series, and per series and step."""
+def evaluate(windows: DataFrame, predict: Predict, by: Sequence[str] = (), **options) -> DataFrame:
+    """The five metrics overall, per step, per series, and per series and step, each per ``by``."""
     scored = forecasts(windows, predict, **options)
-    return metrics_by_country(forecast_long(scored, ["country"]))
+    return metrics_by_country(forecast_long(scored, [*by, "country"]), by=by)
 
 
 def noise_degradation(

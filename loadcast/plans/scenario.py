@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from loadcast.functions.clock import CYCLE_COLUMNS, time_cycle, time_parts
 from loadcast.functions.columns import NOISE_SUFFIX
 from loadcast.functions.noise import add_noise
 from loadcast.operators.bounds import local_if_bounded
+from loadcast.operators.clean import union_days
 from loadcast.operators.encode import label_encode, label_fit
 from loadcast.operators.sample import sample_per_group
 from loadcast.operators.scale import column_std, fit_scaler, scale_transform
@@ -19,6 +20,7 @@ from loadcast.operators.split import SplitCuts, fit_split, split_fraction, split
 from loadcast.operators.windows import (
     flat_arrays,
     flat_matrix,
+    flat_windows,
     panel_frame,
     sequence_windows,
     step_columns,
@@ -164,24 +166,54 @@ def panel_dataset(rows: DataFrame, case: Scenario, cuts: SplitCuts) -> DataFrame
     return panel_frame(kept, GROUPS).withColumn("_group_id", F.col("country"))
 
 
+def level_windows(
+    rows: DataFrame, cases: Sequence[Scenario], cuts: SplitCuts, state: TrainingState, mask_value: float = 0.0
+) -> DataFrame:
+    """``X``, ``Y`` and ``scenario`` for cases that differ in name and history only."""
+    case = cases[0]
+    prepared, series = prepare(rows, case, cuts, state)
+    features = [series if c == VALUE else c for c in BASE_FEATURES]
+    windows = flat_windows(
+        prepared,
+        features,
+        [series],
+        [VALUE],
+        case.lag,
+        case.lead,
+        sorted({c.seq_len for c in cases}),
+        mask_value,
+        GROUPS,
+    )
+    names = F.array(*[F.struct(F.lit(c.name).alias("scenario"), F.lit(min(c.seq_len, c.lag)).alias("_h")) for c in cases])
+    named = windows.select("*", F.inline(names)).where(F.col("_h") == F.col("seq_len"))
+    return named.select("scenario", "split", "country", "datetime", "time_idx", "X", "Y")
+
+
 def run_scenarios(
     base: DataFrame, cases: Sequence[Scenario], state: TrainingState, predict: Predict, mask_value: float = 0.0
 ) -> DataFrame:
-    """Metrics of every scenario: one lazy plan, with a ``scenario`` column.
+    """Metrics of every scenario in one lazy plan, with a ``scenario`` column.
 
-    ``base`` should be a written table: every scenario reads the series and columns it needs
-    from it. Cut points are found once per set of series.
+    ``base`` should be a written table. Cases that differ in history only share their cut
+    points, their preparation and one window pass; all forecasts are scored and measured
+    together.
     """
-    cuts: dict[tuple, SplitCuts] = {}
-    out = None
+    levels: dict[Scenario, list[Scenario]] = {}
     for case in cases:
-        rows = select_rows(base, case)
-        key = (case.countries, case.size)
+        levels.setdefault(replace(case, name="", seq_len=case.lag), []).append(case)
+    cuts: dict[tuple, SplitCuts] = {}
+    windows = []
+    for level, members in levels.items():
+        rows = select_rows(base, level)
+        key = (level.countries, level.size)
         if key not in cuts:
             cuts[key] = fit_cuts(rows)
-        xy = flat_xy(flat_dataset(rows, case, cuts[key], state, mask_value), case)
-        errors = evaluate(xy, predict, state=state.scaler, dictionary=state.dictionary, method=state.method)
-        named = errors.select(F.lit(case.name).alias("scenario"), "*")
-        out = named if out is None else out.unionByName(named)
-    return out
-
+        windows.append(level_windows(rows, members, cuts[key], state, mask_value))
+    return evaluate(
+        union_days(windows),
+        predict,
+        by=["scenario"],
+        state=state.scaler,
+        dictionary=state.dictionary,
+        method=state.method,
+    )

@@ -10,6 +10,7 @@ from loadcast.operators.windows import (
     drop_incomplete,
     flat_arrays,
     flat_matrix,
+    flat_windows,
     lag_lead,
     last_step_features,
     min_length_groups,
@@ -88,6 +89,18 @@ def test_masked_lags_and_noise_names(spark):
     assert out.count() == 20 - 3 - 2
 
 
+def test_flat_windows_equal_flat_matrix_per_history(spark):
+    df = hours(spark, SERIES).withColumns({"h": F.hour("datetime"), f"{V}_noise": F.col(V) + 1})
+    series = [f"{V}_noise", "h"]
+    out = flat_windows(df, ["h", f"{V}_noise"], series, [V], 12, 5, [4, 8, 12], -9.0, chunk_rows=7)
+    for h in (4, 8, 12):
+        wide = flat_matrix(df, series, [V], 12, 5, seq_len=h, mask_value=-9.0)
+        names = ["h", V, *[f"{b}_lag{k}" for b in (V, "h") for k in range(1, 13)]]
+        expected = flat_arrays(wide, names, [f"{V}_lead{k}" for k in range(1, 6)])
+        pick = lambda d: {(r.country, r.time_idx, tuple(r.X), tuple(r.Y)) for r in d.collect()}
+        assert pick(out.where(F.col("seq_len") == h)) == pick(expected) and expected.count() > 100
+
+
 def test_time_based_lag_is_null_at_gaps(spark):
     df = hours(spark, {"A": [1, 2, 3, 4, 5]}).where(f"{V} <> 3")
     rows = {r[V]: r for r in time_lag_lead(df, [V], [V], [1, 2], [1]).collect()}
