@@ -9,8 +9,10 @@ from loadcast.catalog.tables import (
     BOTH,
     IDX,
     LEAD,
+    LEVEL,
     METRICS,
     NAIVE,
+    OVERALL,
     SEQ,
     SPLIT,
     VALUE,
@@ -108,10 +110,10 @@ def _(spark, sf):
 
 
 @REGISTRY.add("metrics_by_country", (
-    f"WITH {NAIVE} SELECT lead::INTEGER AS lead, country, {METRICS} FROM fc GROUP BY GROUPING SETS ((), (lead), (country), (country, lead))"
+    f"WITH {NAIVE} SELECT {LEVEL}, {METRICS} FROM fc GROUP BY GROUPING SETS ((), (lead), (country), (country, lead))"
 ))
 def _(spark, sf):
-    return metrics_by_country(forecast_long(naive(spark, sf), ["country"]))
+    return metrics_by_country(forecast_long(naive(spark, sf), ["country"])).fillna(OVERALL)
 
 
 SIGMAS = (0.0, 0.01, 0.03, 0.05, 0.1)
@@ -153,20 +155,32 @@ def _(spark, sf):
     return pinball_loss(quantiles, by=["country"])
 
 
-@REGISTRY.add("acf", (
-    f"WITH {IDX}, c AS (SELECT country, datetime, n, quantity_MW - avg(quantity_MW) OVER (PARTITION BY country) AS x FROM idx), "
+ACF = (
+    f"{IDX}, c AS (SELECT country, datetime, n, quantity_MW - avg(quantity_MW) OVER (PARTITION BY country) AS x FROM idx), "
     f"h AS (SELECT country, n, x, {frame_sql('xs', f'{LAGS} PRECEDING', 'CURRENT ROW', value='x')} FROM c), "
     "e AS (SELECT country, n, x, unnest(list_reverse(xs)) AS y, unnest(range(0, len(xs))) AS lag FROM h), "
     "p AS (SELECT country, lag, n, sum(x * y) AS s FROM e GROUP BY ALL), "
-    "q AS (SELECT country, lag, n, s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY country) AS v FROM p), "
-    "b AS (SELECT *, coalesce(sum(CASE WHEN lag > 0 THEN v * v END) OVER (PARTITION BY country ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sq FROM q) "
+    "q AS (SELECT country, lag, n, s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY country) AS v FROM p)"
+)
+
+
+@REGISTRY.add("acf", (
+    f"WITH {ACF}, b AS (SELECT *, coalesce(sum(CASE WHEN lag > 0 THEN v * v END) OVER (PARTITION BY country ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sq FROM q) "
     f"SELECT country, lag::INTEGER AS lag, {r('v', 'acf')}, {r('CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054::DOUBLE * sqrt((1 + 2 * sq) / n) END', 'band')}, n FROM b"
 ))
 def _(spark, sf):
     return acf(hourly(spark, sf), LAGS)
 
 
-@REGISTRY.add("pacf")
+@REGISTRY.add("pacf", (
+    f"WITH RECURSIVE {ACF}, rs AS (SELECT country, n, list(v ORDER BY lag) AS rr FROM q GROUP BY country, n), "
+    "d AS (SELECT country, n, rr, 1 AS k, [rr[2]] AS phi, rr[2] AS last FROM rs UNION ALL "
+    "SELECT country, n, rr, k + 1, list_concat(list_transform(range(1, k + 1), lambda i: phi[i] - nw * phi[k + 1 - i]), [nw]), nw FROM "
+    "(SELECT *, (rr[k + 2] - list_inner_product(phi, list_reverse(rr[2:k + 1]))) / (1 - list_inner_product(phi, rr[2:k + 1])) AS nw FROM d "
+    f"WHERE k < {LAGS} AND k + 2 <= len(rr))) "
+    f"SELECT country, k::INTEGER AS lag, {r('last', 'pacf')}, {r('1.959963984540054::DOUBLE / sqrt(n)', 'band')} FROM d "
+    "UNION ALL SELECT country, 0, 1::DOUBLE, 0::DOUBLE FROM rs"
+))
 def _(spark, sf):
     return pacf(hourly(spark, sf), LAGS)
 

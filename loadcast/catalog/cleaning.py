@@ -49,7 +49,7 @@ from loadcast.sources.measurements import filter_countries
 REGISTRY = Registry()
 
 
-@REGISTRY.add("filter_countries", f"WITH {BOTH} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, event_id, o_orderkey FROM both_raw WHERE country IN ('error', '1-URGENT')")
+@REGISTRY.add("filter_countries", f"WITH {BOTH} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, key FROM both_raw WHERE country IN ('error', '1-URGENT')")
 def _(spark, sf):
     return filter_countries(both(spark, sf), ["error", "1-URGENT"])
 
@@ -116,7 +116,7 @@ def _(spark, sf):
     return noise_rename(rows.withColumn("quantity_MW_noise", add_noise(F.col(VALUE), F.col("event_id"), 0.01 * spread, 42)))
 
 
-@REGISTRY.add("union_days", f"WITH {BOTH} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, event_id, o_orderkey FROM both_raw")
+@REGISTRY.add("union_days", f"WITH {BOTH} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, key FROM both_raw")
 def _(spark, sf):
     return both(spark, sf)
 
@@ -145,10 +145,9 @@ def _(spark, sf):
     return scale_transform(coded, fit_scaler(train, [VALUE]), [VALUE])
 
 
-@REGISTRY.add("dedup_first", f"WITH {BOTH} SELECT datetime, country, {r('first(quantity_MW ORDER BY coalesce(event_id, o_orderkey))', 'quantity_MW')} FROM both_raw WHERE quantity_MW IS NOT NULL GROUP BY datetime, country")
+@REGISTRY.add("dedup_first", f"WITH {BOTH} SELECT datetime, country, {r('first(quantity_MW ORDER BY key)', 'quantity_MW')} FROM both_raw WHERE quantity_MW IS NOT NULL GROUP BY datetime, country")
 def _(spark, sf):
-    rows = both(spark, sf).withColumn("key", F.coalesce("event_id", "o_orderkey"))
-    return dedup_first(rows, ["key"])
+    return dedup_first(both(spark, sf), ["key"])
 
 
 @REGISTRY.add("hourly_first", HOURLY_ROWS)

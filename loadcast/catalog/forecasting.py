@@ -7,7 +7,9 @@ from loadcast.catalog.tables import (
     IDX,
     LAG,
     LEAD,
+    LEVEL,
     METRICS,
+    OVERALL,
     SCALER,
     SEQ,
     SPLIT,
@@ -99,12 +101,12 @@ def _(spark, sf):
     return forecast_long(scored, ["country", "datetime", "time_idx"])
 
 
-@REGISTRY.add("evaluate", f"WITH {MEANS} SELECT lead::INTEGER AS lead, country, {METRICS} FROM fc GROUP BY GROUPING SETS ((), (lead), (country), (country, lead))")
+@REGISTRY.add("evaluate", f"WITH {MEANS} SELECT {LEVEL}, {METRICS} FROM fc GROUP BY GROUPING SETS ((), (lead), (country), (country, lead))")
 def _(spark, sf):
     panel = hourly(spark, sf)
     state = fit_scaler(panel, [VALUE])
     windows = sequence_windows(scale_transform(panel, state, [VALUE]), [VALUE], [VALUE], SEQ, LEAD)
-    return evaluate(windows, lambda x: x.mean(axis=1, keepdims=True).repeat(6, axis=1), state=state)
+    return evaluate(windows, lambda x: x.mean(axis=1, keepdims=True).repeat(6, axis=1), state=state).fillna(OVERALL)
 
 
 HISTORIES = (8, 16, 24)
@@ -151,7 +153,7 @@ def scenario_sql() -> str:
             )
     return (
         f"WITH {', '.join(ctes)}, fc AS ({' UNION ALL '.join(parts)}) "
-        f"SELECT scenario, lead::INTEGER AS lead, country, {METRICS} FROM fc GROUP BY GROUPING SETS ((scenario), (scenario, lead), (scenario, country), (scenario, country, lead))"
+        f"SELECT scenario, {LEVEL}, {METRICS} FROM fc GROUP BY GROUPING SETS ((scenario), (scenario, lead), (scenario, country), (scenario, country, lead))"
     )
 
 
@@ -162,7 +164,7 @@ def _(spark, sf):
     first = len(BASE_FEATURES)
     cases = scenarios(("error",), SERIES, HISTORIES, LEAD)
     # Sum of the lags the scenario may see over the full width; hidden lags are 0 after scaling.
-    return run_scenarios(base, cases, state, lambda x: (x[:, first:].sum(axis=1, keepdims=True) / 24).repeat(6, axis=1))
+    return run_scenarios(base, cases, state, lambda x: (x[:, first:].sum(axis=1, keepdims=True) / 24).repeat(6, axis=1)).fillna(OVERALL)
 
 
 @REGISTRY.add("scenario_linear")
@@ -174,4 +176,4 @@ def _(spark, sf):
     model, _, _ = ridge_grid(flat_xy(flat_dataset(base, training, cuts, state), training), (0.0, 0.01, 0.1, 1.0))
     weights, intercept = model.weights, model.intercept
     cases = scenarios(("error",), SERIES, HISTORIES, LEAD)
-    return run_scenarios(base, cases, state, lambda x: x @ weights + intercept)
+    return run_scenarios(base, cases, state, lambda x: x @ weights + intercept).fillna(OVERALL)

@@ -47,7 +47,7 @@ from loadcast.operators.split import split_keep
 from loadcast.operators.windows import lag_lead, sequence_windows
 
 REGISTRY = Registry()
-KEYS = "datetime, country, event_id, o_orderkey"
+KEYS = "datetime, country, key"
 ALL = f"{KEYS}, {r('quantity_MW', 'quantity_MW')}"
 SQL_PART = {"month": "month", "day": "day", "hour": "hour", "minute": "minute"}
 
@@ -70,11 +70,11 @@ def _(spark, sf):
     return time_parts(both(spark, sf))
 
 
-@REGISTRY.add("time_cycle_decode", f"WITH {BOTH} SELECT country, event_id, o_orderkey, date_trunc('minute', datetime) AS datetime FROM both_raw")
+@REGISTRY.add("time_cycle_decode", f"WITH {BOTH} SELECT country, key, date_trunc('minute', datetime) AS datetime FROM both_raw")
 def _(spark, sf):
     encoded = time_cycle(both(spark, sf)).drop("datetime", VALUE)
     stored = encoded.withColumns({c: F.col(c).cast("float") for c in CYCLE_COLUMNS})
-    return time_cycle_decode(stored).select("country", "event_id", "o_orderkey", "datetime")
+    return time_cycle_decode(stored).select("country", "key", "datetime")
 
 
 CODES = (
@@ -89,7 +89,7 @@ def fitted_before_2000(spark, sf):
 
 
 @REGISTRY.add("label_encode", (
-    f"WITH {CODES} SELECT datetime, {r('quantity_MW', 'quantity_MW')}, event_id, o_orderkey, "
+    f"WITH {CODES} SELECT datetime, {r('quantity_MW', 'quantity_MW')}, key, "
     "coalesce(code, (SELECT count(*) FROM codes))::INTEGER AS country FROM both_raw LEFT JOIN codes ON label = country"
 ))
 def _(spark, sf):
@@ -98,7 +98,7 @@ def _(spark, sf):
 
 
 @REGISTRY.add("label_decode", (
-    f"WITH {CODES} SELECT datetime, {r('quantity_MW', 'quantity_MW')}, event_id, o_orderkey, "
+    f"WITH {CODES} SELECT datetime, {r('quantity_MW', 'quantity_MW')}, key, "
     "coalesce(label, '__unknown__') AS country FROM both_raw LEFT JOIN codes ON label = country"
 ))
 def _(spark, sf):
@@ -165,12 +165,12 @@ def _(spark, sf):
 
 
 @REGISTRY.add("resolution_minutes", (
-    "SELECT event_id, CASE WHEN value < 5 THEN NULL WHEN value > 50 THEN hour(ts) ELSE 60 * hour(ts) END::INTEGER AS minutes FROM events"
+    "SELECT event_id, CASE WHEN value < 5 THEN -1 WHEN value > 50 THEN hour(ts) ELSE 60 * hour(ts) END::INTEGER AS minutes FROM events"
 ))
 def _(spark, sf):
     unit = F.when(F.col("value") > 50, "M").otherwise("H")
     text = F.when(F.col("value") < 5, "P1D").otherwise(F.concat(F.lit("PT"), F.hour("ts").cast("string"), unit))
-    return table(spark, sf, "events").select("event_id", resolution_minutes(text).alias("minutes"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(resolution_minutes(text), F.lit(-1)).alias("minutes"))
 
 
 @REGISTRY.add("point_time", "SELECT event_id, date_trunc('minute', ts) AS datetime FROM events")

@@ -125,16 +125,17 @@ def _(spark, sf):
 
 @REGISTRY.add("state_save_load", (
     f"WITH {BOTH}, labels AS (SELECT country AS label, row_number() OVER (ORDER BY country) - 1 AS code FROM (SELECT DISTINCT country FROM both_raw)) "
-    "SELECT 'country' AS col, label, code::INTEGER AS code, NULL::DOUBLE AS mean, NULL::DOUBLE AS std FROM labels "
-    "UNION ALL SELECT 'country', '__unknown__', (max(code) + 1)::INTEGER, NULL, NULL FROM labels "
-    f"UNION ALL SELECT 'quantity_MW', 'global', NULL::INTEGER, {r('avg(quantity_MW)', 'mean')}, {r('stddev_pop(quantity_MW)', 'std')} FROM both_raw"
+    "SELECT 'country' AS col, label, code::INTEGER AS code, 0::DOUBLE AS mean, 0::DOUBLE AS std FROM labels "
+    "UNION ALL SELECT 'country', '__unknown__', (max(code) + 1)::INTEGER, 0, 0 FROM labels "
+    f"UNION ALL SELECT 'quantity_MW', 'global', -1::INTEGER, {r('avg(quantity_MW)', 'mean')}, {r('stddev_pop(quantity_MW)', 'std')} FROM both_raw"
 ))
 def _(spark, sf):
     rows = both(spark, sf)
     labels = save_state(label_fit(rows, ["country"]), scratch_path(spark, "labels"))
     scaler = save_state(fit_scaler(rows, [VALUE]), scratch_path(spark, "scaler"))
     scales = load_state(spark, scaler).select("col", F.col("group").alias("label"), "mean", "std")
-    return load_state(spark, labels).unionByName(scales, allowMissingColumns=True)
+    both_states = load_state(spark, labels).unionByName(scales, allowMissingColumns=True)
+    return both_states.fillna({"code": -1, "mean": 0.0, "std": 0.0})
 
 
 def flat_sql(cast: str, where: str) -> str:

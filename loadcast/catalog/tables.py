@@ -41,7 +41,8 @@ def order_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 def both(spark: SparkSession, sf: str) -> DataFrame:
     """The readings of both tables, so that all clock parts and many labels occur."""
-    return union_days([raw(spark, sf), order_readings(spark, sf)])
+    rows = union_days([raw(spark, sf), order_readings(spark, sf)])
+    return rows.withColumn("key", F.coalesce("event_id", "o_orderkey")).drop("event_id", "o_orderkey")
 
 
 def naive(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +96,8 @@ ORDERS = (
     "o_totalprice AS quantity_MW, o_orderkey FROM orders)"
 )
 BOTH = (
-    f"{RAW}, {ORDERS}, both_raw AS (SELECT datetime, country, quantity_MW, event_id, NULL::BIGINT AS o_orderkey FROM raw "
-    "UNION ALL SELECT datetime, country, quantity_MW, NULL::BIGINT, o_orderkey FROM orders_raw)"
+    f"{RAW}, {ORDERS}, both_raw AS (SELECT datetime, country, quantity_MW, event_id AS key FROM raw "
+    "UNION ALL SELECT datetime, country, quantity_MW, o_orderkey FROM orders_raw)"
 )
 HOURLY = (
     f"{RAW}, hourly AS (SELECT date_trunc('hour', raw.datetime) AS datetime, country, "
@@ -146,6 +147,11 @@ METRICS = columns(
 )
 
 
+# Rows of a grouping set that does not use a column carry a name instead of NULL.
+OVERALL = {"lead": 0, "country": "all"}
+LEVEL = "coalesce(lead, 0)::INTEGER AS lead, coalesce(country, 'all') AS country"
+
+
 def lag_sql(prefix: str, steps: Sequence[int], source: str = "quantity_MW", over: str = "w") -> list[str]:
     return [f"lag({source}, {k}) OVER {over} AS {prefix}{k}" for k in steps]
 

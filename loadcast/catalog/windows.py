@@ -86,11 +86,11 @@ def _(spark, sf):
 
 
 @REGISTRY.add("time_idx", (
-    f"WITH {BOTH} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, event_id, o_orderkey, "
-    "row_number() OVER (PARTITION BY country ORDER BY datetime, event_id, o_orderkey) - 1 AS time_idx FROM both_raw"
+    f"WITH {BOTH} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')}, key, "
+    "row_number() OVER (PARTITION BY country ORDER BY datetime, key) - 1 AS time_idx FROM both_raw"
 ))
 def _(spark, sf):
-    return time_idx(both(spark, sf), order=["event_id", "o_orderkey"])
+    return time_idx(both(spark, sf), order=["key"])
 
 
 def sequence_sql(extra: str = "", select: str = "country, datetime, time_idx") -> str:

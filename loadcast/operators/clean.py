@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.columns import group_id, require_columns
@@ -25,6 +25,18 @@ def union_days(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def first_by(value: str, order: Sequence[str]) -> Column:
+    """The value of the first row in the given order, as an aggregate.
+
+    With one order column the aggregation runs on a hash table; a composite order needs a
+    sort of each task's rows, so give just the time where times are distinct.
+    """
+    if len(order) == 1:
+        # Without any key the smallest value stands in, so that no value is lost.
+        return F.coalesce(F.min_by(value, order[0]), F.min(value))
+    return F.min_by(value, F.struct(*order))
+
+
 def dedup_first(
     df: DataFrame,
     order: Sequence[str],
@@ -34,8 +46,7 @@ def dedup_first(
 ) -> DataFrame:
     """One row per (time, series): the first non-NULL value in the given order."""
     require_columns(df, [time_col, group, value, *order])
-    first = F.min_by(value, F.struct(*order)).alias(value)
-    return df.where(F.col(value).isNotNull()).groupBy(time_col, group).agg(first)
+    return df.where(F.col(value).isNotNull()).groupBy(time_col, group).agg(first_by(value, order).alias(value))
 
 
 def hourly_first(
@@ -51,7 +62,7 @@ def hourly_first(
     de-duplicating first, at the price of one aggregation instead of two.
     """
     hour = F.date_trunc("hour", time_col).alias(time_col)
-    first = F.min_by(value, F.struct(time_col, *order)).alias(value)
+    first = first_by(value, [time_col, *order]).alias(value)
     return df.where(F.col(value).isNotNull()).groupBy(hour, F.col(group)).agg(first)
 
 

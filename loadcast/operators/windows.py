@@ -144,6 +144,7 @@ def lag_lead(
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
     complete: bool = False,
+    seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """Columns ``x_lag1`` … and ``y_lead1`` … by row position; steps off the series are NULL.
 
@@ -158,7 +159,9 @@ def lag_lead(
     place = {c: f"_v{i}" for i, c in enumerate(names)}
     carry = [c for c in df.columns if c != "time_idx"]
     before, after = max(lags, default=0), max(leads, default=0)
-    rows = chunked(df, carry, arrays, before, after, groups, time_col, order, chunk_rows)
+    rows = chunked(
+        df, carry, arrays, before, after, groups, time_col, order, chunk_rows, seconds=seconds
+    )
     if complete:
         for c in lagged:
             rows = rows.where(has_past(before + 1) & whole(place[c], F.slice(place[c], F.col("_pos") - (before - 1), F.lit(before))))
@@ -215,6 +218,7 @@ def flat_matrix(
     time_col: str = "datetime",
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
+    seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """One row per time with ``lags`` lag columns per series and ``leads`` lead columns per target.
 
@@ -235,6 +239,7 @@ def flat_matrix(
         order,
         chunk_rows,
         complete=drop_nulls,
+        seconds=seconds,
     )
     return noise_rename(wide)
 
@@ -263,6 +268,7 @@ def flat_windows(
     time_col: str = "datetime",
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
+    seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """The flat matrix as ``X`` and ``Y`` arrays, for several histories from one pass.
 
@@ -279,7 +285,16 @@ def flat_windows(
     vector = F.expr(f"array({', '.join(double_sql(df, c) for c in features)})")
     kept = unique([*groups, time_col, *order])
     rows = chunked(
-        df.withColumn("_f", vector), [*kept, "_f"], arrays, max(wanted), leads, groups, time_col, order, chunk_rows
+        df.withColumn("_f", vector),
+        [*kept, "_f"],
+        arrays,
+        max(wanted),
+        leads,
+        groups,
+        time_col,
+        order,
+        chunk_rows,
+        seconds=seconds,
     )
     for c in targets:
         rows = rows.where(has_future(place[c], leads) & whole(place[c], future(place[c], leads)))
@@ -309,6 +324,7 @@ def sequence_windows(
     keep: Sequence[str] = (),
     drop_nulls: bool = False,
     chunk_rows: int | None = None,
+    seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """Sliding windows: ``X`` = ``seq_len`` steps of all features, time-major; ``Y`` = next steps.
 
@@ -320,7 +336,7 @@ def sequence_windows(
     kept = unique([*groups, time_col, *order, *keep])
     arrays = {"_xs": step_x, "_ys": step_y}
     rows = chunked(
-        df, kept, arrays, seq_len - 1, lead, groups, time_col, order, chunk_rows
+        df, kept, arrays, seq_len - 1, lead, groups, time_col, order, chunk_rows, seconds=seconds
     ).where(has_past(seq_len) & has_future("_xs", lead))
     window = F.struct(
         F.flatten(past("_xs", seq_len)).alias("X"), F.flatten(future("_ys", lead)).alias("Y")
