@@ -93,12 +93,13 @@ def _(spark, sf):
     "request_grid",
     f"WITH {RAW}, ends AS (SELECT country, date_trunc('hour', max(datetime)) AS hi FROM raw GROUP BY country), "
     "days AS (SELECT country, unnest(generate_series(hi - INTERVAL 10 DAY, hi - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM ends) "
-    "SELECT 'load_total' AS item, 'A65' AS document_type, 'A16' AS process_type, country, day, "
+    "SELECT 'load_total' AS item, 'A65' AS document_type, 'A16' AS process_type, 'area-' || country AS domain, country, day, "
     "strftime(day, '%Y%m%d%H%M') AS period_start, strftime(day + INTERVAL 1 DAY, '%Y%m%d%H%M') AS period_end FROM days",
 )
 def _(spark, sf):
     series = raw(spark, sf).groupBy("country").agg(F.max("datetime").alias("last"))
-    return request_grid(series, floor_hour(F.col("last"), 10), floor_hour(F.col("last")))
+    codes = {name: f"area-{name}" for name in ("click", "error", "purchase", "signup", "view")}
+    return request_grid(series, floor_hour(F.col("last"), 10), floor_hour(F.col("last")), codes=codes)
 
 
 HOURLY_ROWS = f"WITH {HOURLY} SELECT datetime, country, {r('quantity_MW', 'quantity_MW')} FROM hourly"

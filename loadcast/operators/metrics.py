@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.columns import quoted
 
-METRICS = ("mae", "mse", "rmse", "correlacao_pearson", "r2")
-
 
 def attach_forecast(
     features: DataFrame, forecast: DataFrame, keys: Sequence[str] = ("country", "time_idx")

@@ -31,6 +31,19 @@ class SplitCuts:
         )
 
 
+    def bounds(self, keep: Sequence[str]) -> Column:
+        """Time bounds that hold for every row of the named splits; simple enough for a scan."""
+        time = F.col(self.time_col)
+        after = None if "train" in keep else self.train_end if "val" in keep else self.val_end
+        until = None if "test" in keep else self.val_end if "val" in keep else self.train_end
+        test = F.lit(True)
+        if after:
+            test = test & ((time >= F.timestamp_micros(F.lit(after["us"]))) | time.isNull())
+        if until:
+            test = test & (time <= F.timestamp_micros(F.lit(until["us"])))
+        return test
+
+
 def fit_split(
     df: DataFrame,
     train: float = 0.7,
@@ -76,6 +89,11 @@ def split_keep(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.where(F.col("split").isin(list(keep)))
 
 
+def split_rows(df: DataFrame, cuts: SplitCuts, keep: Sequence[str]) -> DataFrame:
+    """The named splits with their ``split`` column; times outside them are not scanned."""
+    return split_keep(split_fraction(df.where(cuts.bounds(keep)), cuts), keep)
+
+
 def head_fraction(
     df: DataFrame, size: float, time_col: str = "datetime", order: Sequence[str] = ()
 ) -> DataFrame:

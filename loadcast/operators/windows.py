@@ -72,6 +72,8 @@ def chunked(
     chunks = (
         rows.select(group_id(groups).alias("_group"), record.alias("_row"), F.col("time_idx"))
         .withColumn("_chunk", F.explode(reach))
+        # Lists do not shrink before the shuffle, so rows are moved as they are and grouped once.
+        .repartition("_group", "_chunk")
         .groupBy("_group", "_chunk")
         .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     )

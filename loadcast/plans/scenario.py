@@ -16,7 +16,7 @@ from loadcast.operators.clean import union_days
 from loadcast.operators.encode import label_encode, label_fit
 from loadcast.operators.sample import sample_per_group
 from loadcast.operators.scale import column_std, fit_scaler, scale_transform
-from loadcast.operators.split import SplitCuts, fit_split, split_fraction, split_keep
+from loadcast.operators.split import SplitCuts, fit_split, split_rows
 from loadcast.operators.windows import (
     flat_arrays,
     flat_matrix,
@@ -100,7 +100,7 @@ def fit_cuts(rows: DataFrame) -> SplitCuts:
 
 def fit_training_state(rows: DataFrame, cuts: SplitCuts, method: str = "standard") -> TrainingState:
     """Labels and scaler learned on training rows only."""
-    train = split_keep(split_fraction(rows, cuts), ["train"]).withColumn("year", F.year("datetime"))
+    train = split_rows(rows, cuts, ["train"]).withColumn("year", F.year("datetime"))
     dictionary = label_fit(train, ["country", "year"])
     scaler = fit_scaler(train, [VALUE])
     # Scenarios look the state up many times; a local copy saves fitting it anew each time.
@@ -122,7 +122,7 @@ def prepare(
     if case.noise:
         rows = with_noise(rows, case.noise)
         series = VALUE + NOISE_SUFFIX
-    kept = split_keep(split_fraction(rows, cuts), case.keep)
+    kept = split_rows(rows, cuts, case.keep)
     encoded = label_encode(time_cycle(kept), state.dictionary, ["country", "year"])
     scaled = scale_transform(encoded, state.scaler, [c for c in (VALUE, series) if c in encoded.columns], state.method)
     return scaled, series
@@ -162,8 +162,8 @@ def panel_dataset(rows: DataFrame, case: Scenario, cuts: SplitCuts) -> DataFrame
     """The scenario's panel with clock parts; noise, if any, is in the value column's features."""
     if case.noise:
         rows = with_noise(rows, case.noise)
-    kept = split_keep(split_fraction(time_parts(rows), cuts), case.keep)
-    return panel_frame(kept, GROUPS).withColumn("_group_id", F.col("country"))
+    kept = split_rows(rows, cuts, case.keep)
+    return panel_frame(time_parts(kept), GROUPS).withColumn("_group_id", F.col("country"))
 
 
 def level_windows(

@@ -97,12 +97,20 @@ def build_load_xml(df: DataFrame, minutes: int = 1) -> DataFrame:
     return days.select("country", F.to_xml(document, {"rowTag": "Document"}).alias("xml"))
 
 
-def request_grid(series: DataFrame, start: Column, end: Column, column: str = "country") -> DataFrame:
+def request_grid(
+    series: DataFrame,
+    start: Column,
+    end: Column,
+    column: str = "country",
+    codes: dict[str, str] = AREA_CODES,
+) -> DataFrame:
     """One request per series and day from ``start`` (inclusive) to ``end`` (exclusive).
 
     ``start`` and ``end`` are literals or columns of ``series``, which has one row per series.
-    Columns ``item, document_type, process_type, country, day, period_start, period_end``.
+    Columns ``item, document_type, process_type, domain, country, day, period_start,
+    period_end``; ``domain`` is the area code of the series, NULL if it has none.
     """
+    domain = F.create_map(*[F.lit(v) for pair in codes.items() for v in pair])
     day = F.make_dt_interval(days=F.lit(1))
     bounded = series.select(column, start.alias("_from"), end.alias("_to"))
     days = bounded.where(F.col("_from") < F.col("_to")).select(
@@ -112,6 +120,7 @@ def request_grid(series: DataFrame, start: Column, end: Column, column: str = "c
         F.lit(LOAD_ITEM["key"]).alias("item"),
         F.lit(LOAD_ITEM["documentType"]).alias("document_type"),
         F.lit(LOAD_ITEM["processType"]).alias("process_type"),
+        F.try_element_at(domain, F.col(column)).alias("domain"),
         column,
         "day",
         period_format(F.col("day")).alias("period_start"),

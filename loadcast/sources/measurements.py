@@ -10,15 +10,6 @@ from pyspark.sql import types as T
 
 from loadcast.functions.columns import require_columns
 
-MEASUREMENTS = T.StructType(
-    [
-        T.StructField("datetime", T.TimestampType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("quantity_MW", T.DoubleType()),
-    ]
-)
-
-
 def as_measurements(df: DataFrame, time: str, series: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
     """Any table as ``(datetime, country, quantity_MW, keep…)``; NaN becomes NULL."""
     require_columns(df, [time, series, value, *keep])

@@ -24,6 +24,7 @@ from loadcast.operators.split import (
     split_calendar,
     split_fraction,
     split_keep,
+    split_rows,
 )
 
 V = "quantity_MW"
@@ -111,6 +112,26 @@ def test_split_cuts_fall_inside_a_timestamp(spark):
     assert split_keep(split_fraction(df, cuts), ["val"]).count() == 2
 
 
+@pytest.mark.parametrize("keep", [["train"], ["val"], ["test"], ["train", "val"], ["val", "test"], ["train", "val", "test"]])
+@pytest.mark.parametrize("shares", [(0.6, 0.2, 0.2), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (1.0, 0.0, 0.0)])
+def test_split_rows_equal_split_then_keep(spark, keep, shares):
+    df = hours(spark, {c: [1.0] * 4 for c in "ABC"}).unionByName(spark.createDataFrame([(None, "A", 1.0)], "datetime timestamp, country string, quantity_MW double"))
+    cuts = fit_split(df, *shares)
+    assert as_set(split_rows(df, cuts, keep)) == as_set(split_keep(split_fraction(df, cuts), keep))
+
+
+def test_split_bounds_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "base")
+    hours(spark, {c: [1.0] * 40 for c in "ABC"}).write.parquet(path)
+    df = spark.read.parquet(path)
+    cuts = fit_split(df, 0.8, 0.15, 0.05)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = split_rows(df, cuts, ["val"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.split("PushedFilters:")[1]
+    assert "GreaterThanOrEqual(datetime" in pushed and "LessThanOrEqual(datetime" in pushed
+
+
 @pytest.mark.parametrize("rank_rows", [1, 3, 1_000_000])
 @pytest.mark.parametrize("rank", [1, 2, 30, 71, 72, 73, 100, 144])
 def test_boundary_rows(spark, rank, rank_rows):

@@ -65,6 +65,8 @@ def test_resolution_and_grid(spark):
     grid = request_grid(series, end - F.make_dt_interval(days=F.lit(3)), end).collect()
     assert len(grid) == 6 and {r.period_start for r in grid} == {"202401010500", "202401020500", "202401030500"}
     assert {r.period_end for r in grid} == {"202401020500", "202401030500", "202401040500"}
+    assert {(r.country, r.domain) for r in grid} == {("FR", "10YFR-RTE------C"), ("ES", "10YES-REE------0")}
+    assert request_grid(series.select(F.lit("XX").alias("country")), F.lit("2024-01-01").cast("timestamp"), end).first().domain is None
     assert request_grid(series, end, end).count() == 0
 
 
