@@ -99,7 +99,8 @@ def ffill(
     keyed = df.withColumns(
         {"_group": group_id(groups), "_bucket": time_bucket(F.col(time_col), seconds)}
     )
-    position = F.struct(time_col, *order)
+    # A single order column keeps the aggregation on a hash table.
+    position = F.struct(time_col, *order) if order else F.col(time_col)
     last = F.max_by(value, F.when(F.col(value).isNotNull(), position))
     earlier = (
         Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

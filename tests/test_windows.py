@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadcast.operators.positions import bucket_seconds, time_idx
 from loadcast.operators.windows import (
+    chunked,
     drop_incomplete,
     flat_arrays,
     flat_matrix,
@@ -159,6 +160,18 @@ def test_flat_arrays_pick_by_name(spark):
     assert (row.k, row.X, row.Y) == (1, [3, 2], [1])
 
 
+def test_chunks_stay_small_for_a_hot_series(spark):
+    df = hours(spark, {"hot": [1.0] * 3000, "cold": [1.0] * 20})
+    rows = chunked(df, ["country"], {"_v": F.col(V)}, 10, 5, chunk_rows=100)
+    assert rows.agg(F.max(F.size("_v"))).first()[0] == 115
+    assert rows.count() == 3020
+
+
+def test_window_tests_stay_compiled(spark):
+    plan = flat_matrix(hours(spark, SERIES), [V], [V], 12, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "exists(" not in plan and "lambda" not in plan
+
+
 def test_random_series_property(spark):
     rng = random.Random(5)
     lengths = {f"s{i}": rng.randint(1, 60) for i in range(12)}
