@@ -4,9 +4,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from loadcast.catalog import all_queries, all_sql
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,4 +29,5 @@ def test_entry(spark):
 
 
 def test_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries())
