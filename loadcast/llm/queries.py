@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import mixing, pii
+from loadcast.llm import mixing, packing, pii, simhash
 from loadcast.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
 PII_KEY = "loadcast-pseudonyms"
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select(F.col("id").alias("doc_id"), digits, "component_id")
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY, found_col="replaced")
@@ -26,5 +34,15 @@ def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_feistel_pseudonyms, op9_curriculum_mixing)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_simhash_near_dedup,
+    op7_feistel_pseudonyms,
+    op8_best_fit_packing,
+    op9_curriculum_mixing,
+)}
 SQL: dict[str, str] = {}
