@@ -6,19 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import mixing, packing, pii, simhash
+from loadcast.llm import langid, mixing, packing, pii, simhash, toxicity
 from loadcast.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 PII_KEY = "loadcast-pseudonyms"
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out()))
+    found = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return found.select(F.col("id").alias("doc_id"), digits, "component_id")
 
 
+def op5_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = langid.held_out(folds=5, fold=0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~apart))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY, found_col="replaced")
@@ -40,7 +56,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_language_mixture,
     op2_simhash_near_dedup,
+    op5_toxicity_string_kernel,
     op7_feistel_pseudonyms,
     op8_best_fit_packing,
     op9_curriculum_mixing,
