@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import langid, mixing, packing, pii, simhash, toxicity
+from loadcast.llm import imatch, langid, mixing, packing, pii, simhash, toxicity
 from loadcast.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN))
 
 
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.edited_pairs(docs, imatch.lexicon(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture,
     op2_simhash_near_dedup,
@@ -62,5 +67,6 @@ QUERIES = {f.__name__: f for f in (
     op7_feistel_pseudonyms,
     op8_best_fit_packing,
     op9_curriculum_mixing,
+    op10_imatch_fingerprints,
 )}
 SQL: dict[str, str] = {}
