@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import imatch, langid, mixing, packing, pii, simhash, toxicity
+from loadcast.llm import chat, imatch, langid, mixing, neighbours, packing, pii, simhash, toxicity
 from loadcast.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits, "component_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(own)))
+
+
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     apart = langid.held_out(folds=5, fold=0)
@@ -63,6 +74,8 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture,
     op2_simhash_near_dedup,
+    op3_chat_formatting,
+    op4_projection_forest,
     op5_toxicity_string_kernel,
     op7_feistel_pseudonyms,
     op8_best_fit_packing,
