@@ -21,20 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, so that losing executors repeats nothing before.
-
-    The folder is that of ``spark.checkpoint.dir``. Where the setting is missing a temporary folder is used on
-    a local master only; elsewhere executors could not read each other's files, so it is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master only; on a
+    cluster executors could not read each other's files there, so it is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loadcast-checkpoint-")
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="loadcast-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder, so that losing executors repeats nothing before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -196,6 +196,27 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, columns)
 
 
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The documents whose language is known and has more than ``least`` of the words; all columns as they are.
+
+    Null texts and texts without a letter go; without a model all go. Rows are judged one by one, nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            good = np.zeros(len(texts), dtype=bool)
+            for first, end, points, starts in chunks(texts) if known else ():
+                ll, doc = _word_likelihood(known, points, starts)
+                shares, kept = mixtures(ll, doc, end - first)
+                good[first:end] = (kept > 0) & (shares.max(axis=1) > least)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str | Column = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     """Whether a document's id lies in the fold that no model learns from; rows without an id do."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(True))

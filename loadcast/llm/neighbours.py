@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from loadcast.llm.common import cut, runs_of
 
-TREES = 16
+TREES = 12
 #: Vectors that the trees are fitted on at most (fewer for long vectors), and of those in a fitted leaf.
-SAMPLE, SAMPLE_FLOATS, LEAF = 20_000, 4_000_000, 24
+SAMPLE, SAMPLE_FLOATS, LEAF = 20_000, 4_000_000, 64
 #: Vectors in a cell that further random splits aim at, and cells that a query visits.
-CELL, VISITS = 64, 160
+CELL, VISITS = 256, 320
 
 
 @dataclass
@@ -142,7 +142,8 @@ def nearest(
     another length than most take no part, as queries neither. Ties go to the smaller id. Repeated rows count
     once. With fewer than k candidates a query gets them all; an empty table gives no rows.
     """
-    component = F.transform(vector_col, lambda v: v.cast("double"))
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    component = F.col(vector_col) if kind == "float" else F.transform(vector_col, lambda v: v.cast("double"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = (
         vectors.select(F.col(id_col).cast("long").alias("id"), component.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -167,7 +168,7 @@ def nearest(
     searched = distinct.join(asked.select("key").distinct(), "key", "left_semi")
     every = sum(len(c) for c in forest.centres) << forest.extra
     while True:
-        answers = _answers(distinct, searched, asked, shared, dim, k, visits)
+        answers = _answers(distinct, searched, asked, shared, dim, k, visits, kind == "float")
         if visits >= every or n <= 1:
             return answers
         answers = cut(answers)
@@ -182,16 +183,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _answers(distinct: DataFrame, searched: DataFrame, asked: DataFrame, shared, dim: int, k: int, visits: int) -> DataFrame:
-    columns = "tree int, cell long, ask int, key long, id long, v array<double>"
+def _answers(distinct: DataFrame, searched: DataFrame, asked: DataFrame, shared, dim: int, k: int, visits: int, single: bool) -> DataFrame:
+    columns = f"tree int, cell long, ask int, key long, id long, v array<{'float' if single else 'double'}>"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def batch(tree, cell, ask, key, ids, v) -> pa.RecordBatch:
         offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim)
-        vectors = pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1)))
+        vectors = pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1).astype(np.float32 if single else np.float64)))
         numbers = [np.asarray(tree, np.int32), np.asarray(cell, np.int64), np.full(len(v), ask, np.int32), key, ids]
         return pa.RecordBatch.from_arrays([*map(pa.array, numbers), vectors], names)
 
@@ -239,9 +240,9 @@ def _answers(distinct: DataFrame, searched: DataFrame, asked: DataFrame, shared,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["asked", "key", "id", "score"])
 
     found = dealt.mapInArrow(compare, "asked long, key long, id long, score double")
-    single = found.groupBy("asked", "key").agg(F.max("score").alias("score"), F.min("id").alias("id"))
+    once = found.groupBy("asked", "key").agg(F.max("score").alias("score"), F.min("id").alias("id"))
     top = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
-    short = single.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("asked", "key", "score")
+    short = once.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("asked", "key", "score")
     expanded = short.join(distinct.select("key", "ids"), "key").select("asked", "score", F.explode("ids").alias("vec_id"))
     best = expanded.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")))
     lists = best.where(F.col("n") <= k + 1).groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import chat, imatch, langid, mixing, neighbours, packing, pii, simhash, toxicity
+from loadcast.llm import chat, imatch, langid, mixing, neighbours, packing, pii, simhash, toxicity, warc
 from loadcast.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,28 @@ def op5_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records made of the pages: each page is a full response, and was asked for again later. Every seventh
+    later answer names another version, and every eleventh has no validator."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    later = F.col("page_id") * 10 + 5 + 10 * (F.col("page_id") * 7919 % 1000)
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    weak = F.when(F.col("page_id") % 7 == 0, F.lit('W/"other"')).otherwise(F.concat(F.lit("W/"), tag))
+    size = F.length("html").cast("string")
+    first = F.create_map(F.lit("etag"), tag, F.lit("content-length"), size, F.lit("cache-control"), F.lit("max-age=60"))
+    again = F.create_map(F.lit("etag"), weak, F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=3600"))
+    again = F.when(F.col("page_id") % 11 == 0, F.map_filter(again, lambda k, _: k != "etag")).otherwise(again)
+    responses = pages.select((F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("time"), F.lit("response").alias("kind"), first.alias("headers"), F.col("html").alias("payload"))
+    revisits = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("time"), F.lit("revisit").alias("kind"), again.alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return responses.unionByName(revisits)
+
+
+def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(spark, sf_dir))
+    header = [F.try_element_at("headers", F.lit(h)).alias(h.replace("-", "_")) for h in ("etag", "cache-control", "content-length")]
+    return found.select("record_id", "url_key", "time", "state", "response_id", *header, F.md5("payload").alias("payload_md5"))
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY, found_col="replaced")
@@ -77,9 +99,41 @@ QUERIES = {f.__name__: f for f in (
     op3_chat_formatting,
     op4_projection_forest,
     op5_toxicity_string_kernel,
+    op6_revisit_resolution,
     op7_feistel_pseudonyms,
     op8_best_fit_packing,
     op9_curriculum_mixing,
     op10_imatch_fingerprints,
 )}
-SQL: dict[str, str] = {}
+REVISITS = r"""
+WITH parts AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain FROM pages
+), split AS (
+  SELECT page_id, html, regexp_extract(plain, '^[^/?]*') AS host, substr(plain, length(regexp_extract(plain, '^[^/?]*')) + 1) AS rest FROM parts
+), keyed AS (
+  SELECT page_id, html, '"' || substr(md5(html), 1, 16) || '"' AS tag,
+    regexp_replace(regexp_replace(lower(host), '^www[0-9]*\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') AS page,
+    array_to_string(list_sort(list_filter(string_split(regexp_replace(rest, '^[^?]*\??', ''), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sid)(=|$)'))), '&') AS query
+  FROM split
+), urls AS (
+  SELECT page_id, html, tag, page || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM keyed
+), asked AS (
+  SELECT 2 * page_id + 1 AS record_id, url_key, page_id * 10 + 5 + 10 * (page_id * 7919 % 1000) AS time,
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'W/"other"' ELSE 'W/' || tag END AS etag
+  FROM urls
+), found AS (
+  SELECT a.*, r.page_id, r.html, r.tag FROM asked a ASOF LEFT JOIN (SELECT *, page_id * 10 AS at FROM urls) r
+    ON a.url_key = r.url_key AND a.time > r.at
+), judged AS (
+  SELECT *, CASE WHEN page_id IS NULL THEN 'no_response' WHEN etag IS NULL THEN 'no_validator'
+    WHEN regexp_replace(etag, '^W/', '') = tag THEN 'resolved' ELSE 'changed' END AS state FROM found
+)
+SELECT record_id, url_key, time, state, 2 * page_id AS response_id, etag, 'max-age=3600' AS cache_control,
+  CASE WHEN state = 'resolved' THEN CAST(length(html) AS VARCHAR) ELSE '0' END AS content_length,
+  CASE WHEN state = 'resolved' THEN md5(html) END AS payload_md5
+FROM judged
+"""
+
+SQL: dict[str, str] = {"op6_revisit_resolution": REVISITS}
