@@ -53,7 +53,7 @@ def _units(points: np.ndarray) -> np.ndarray:
     """The unit that each character belongs to, from 0; -1 outside.
 
     A unit is a run of letters. Runs are joined over one character that is no white space, and over one space if
-    either run is a single letter, so spaced and dotted spellings are one unit.
+    both runs are single letters, so spaced and dotted spellings are one unit.
     """
     letter = letters()[points]
     begin = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
@@ -64,7 +64,7 @@ def _units(points: np.ndarray) -> np.ndarray:
     one = begin[1:] - end[:-1] == 1
     single = end - begin == 1
     dotted = (between > 32) & (between != 160)
-    joined = one & (dotted | ((between == 32) & (single[1:] | single[:-1])))
+    joined = one & (dotted | ((between == 32) & single[1:] & single[:-1]))
     number = np.cumsum(np.r_[True, ~joined]) - 1
     out = np.full(len(points), -1)
     inner = np.zeros(len(points) + 1, dtype=np.int64)
@@ -166,8 +166,9 @@ def train(
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     sample = marked.where(drawn < share)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    long_words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) >= 8)
-    sign = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) >= 5)
+    least = [F.array_min(F.transform(words, lambda w, n=n: F.xxhash64(F.lit(n), w))) for n in range(3)]
+    sign = F.when(F.size(words) > 0, F.xxhash64(*least)).otherwise(F.xxhash64("text"))
     rows = cut(read.join(F.broadcast(sample), "id").select("y", "text", sign.alias("sign")).dropDuplicates(["y", "sign"]).drop("sign"))
     counted = cut(
         rows.mapInArrow(_count, "unit string, toxic long, clean long")
