@@ -79,11 +79,23 @@ def period_format(time: Column) -> Column:
     return F.date_format(time, "yyyyMMddHHmm")
 
 
+# A duration of days, hours, minutes and seconds, and the seconds of each.
+DURATION = r"^P(?=\d|T\d)(?:(\d{1,6})D)?(?:T(?=\d)(?:(\d{1,6})H)?(?:(\d{1,6})M)?(?:(\d{1,6})S)?)?$"
+UNIT_SECONDS = (86_400, 3_600, 60, 1)
+
+
+def resolution_seconds(text: Column) -> Column:
+    """Seconds in a duration such as ``PT15M``, ``PT1H30M``, ``P1D`` or ``PT30S``; NULL for anything else, also for
+    months and years, which have no fixed length."""
+    parts = [F.regexp_extract(text, DURATION, i + 1) for i in range(4)]
+    seconds = [F.coalesce(F.nullif(p, F.lit("")).cast("long"), F.lit(0)) * s for p, s in zip(parts, UNIT_SECONDS)]
+    return F.when(text.rlike(DURATION), seconds[0] + seconds[1] + seconds[2] + seconds[3])
+
+
 def resolution_minutes(text: Column) -> Column:
-    """Minutes in ``PTnM`` or ``PTnH``; NULL for anything else."""
-    number = F.regexp_extract(text, r"^PT(\d{1,6})[MH]$", 1)
-    factor = F.when(text.endswith("H"), 60).otherwise(1)
-    return F.when(number != "", number.try_cast("int") * factor)
+    """Minutes in a duration of whole minutes; NULL for anything else."""
+    seconds = resolution_seconds(text)
+    return F.when(seconds % 60 == 0, F.call_function("div", seconds, F.lit(60))).cast("int")
 
 
 def point_time(start: Column, position: Column, minutes: Column) -> Column:
@@ -91,6 +103,11 @@ def point_time(start: Column, position: Column, minutes: Column) -> Column:
     return start + F.make_dt_interval(mins=(position - 1) * minutes)
 
 
+def point_time_seconds(start: Column, position: Column, seconds: Column) -> Column:
+    """As ``point_time``, for steps given in seconds."""
+    return start + F.make_dt_interval(secs=((position - 1) * seconds).cast("decimal(18,6)"))
+
+
 def parse_period_start(text: Column) -> Column:
     """``2024-01-01T00:00Z`` and the same with seconds; NULL if it cannot be read."""
     return F.coalesce(

@@ -28,14 +28,6 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df
 
 
-def expand_steps(steps: int | Sequence[int] | None, default_max: int | None = None) -> list[int]:
-    """``3`` means steps 1, 2, 3; a list is kept; ``None`` means 1 up to ``default_max``."""
-    if isinstance(steps, (list, tuple)):
-        return list(steps)
-    last = default_max if steps is None else steps
-    return list(range(1, max(int(last or 1), 1) + 1))
-
-
 def select_columns(df: DataFrame, features: Sequence[str], targets: Sequence[str] = ()) -> DataFrame:
     """Requested features and targets that exist, once each, in the order asked for."""
     return df.select(*[c for c in unique([*features, *targets]) if c in df.columns])
@@ -94,12 +86,49 @@ def label_text(name: str) -> Column:
 
 
 def group_id(groups: Sequence[str]) -> Column:
-    """One text key per series: the group columns joined by ``_``, or ``global`` without any."""
+    """One readable text per series: the group columns joined by ``_``, or ``global`` without any.
+
+    Different series may share it; it is for output, never a key.
+    """
     if not groups:
         return F.lit(GLOBAL_GROUP)
     return F.concat_ws("_", *[label_text(c) for c in groups])
 
 
+def series_key(groups: Sequence[str]) -> Column:
+    """The group columns themselves as one value to group, partition and join by; NULL equals NULL in it."""
+    return F.struct(*groups) if groups else F.lit(GLOBAL_GROUP)
+
+
+def series_label(groups: Sequence[str]) -> Column:
+    """As ``group_id``, but no two series share a text: an underscore or backslash inside one of several parts, and
+    a text that looks like the label of NULL, are marked by a backslash."""
+    if not groups:
+        return F.lit(GLOBAL_GROUP)
+    parts = []
+    for c in groups:
+        text = F.col(c).cast("string")
+        if len(groups) > 1:
+            text = F.regexp_replace(text, r"([_\\])", r"\\$1")
+        else:
+            text = F.when(text.rlike(rf"^\\*{NULL_LABEL}$"), F.concat(F.lit("\\"), text)).otherwise(text)
+        parts.append(F.coalesce(text, F.lit(NULL_LABEL)))
+    return F.concat_ws("_", *parts)
+
+
+def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins on equal columns, NULL equal to NULL, which have one column each in the result. The two frames share no
+    other column."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in names})
+    test = F.lit(True)
+    for c in names:
+        test = test & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    joined = left.join(renamed, test, how)
+    if how == "full":
+        joined = joined.withColumns({c: F.coalesce(c, f"_right_{c}") for c in names})
+    return joined.drop(*[f"_right_{c}" for c in names])
+
+
 def noise_rename(df: DataFrame) -> DataFrame:
     """Every ``x_noise`` column takes the place and name of ``x``."""
     if not any(c.endswith(NOISE_SUFFIX) for c in df.columns):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import as_double
+from loadcast.functions.columns import as_double, null_safe
 from loadcast.operators.bounds import broadcast_if_bounded
 from loadcast.operators.positions import DAY_SECONDS
 from loadcast.operators.windows import chunked
@@ -32,7 +32,7 @@ def acf(
     """
     rows = df.where(F.col(value).isNotNull()).withColumn("_x", as_double(df, value))
     means = rows.groupBy(group).agg(F.avg("_x").alias("_mean"), F.count("_x").alias("_n"))
-    centred = rows.join(broadcast_if_bounded(means), group).withColumn("_x", F.col("_x") - F.col("_mean"))
+    centred = null_safe(rows, broadcast_if_bounded(means), [group]).withColumn("_x", F.col("_x") - F.col("_mean"))
     spread = chunked(centred, [group, "_n"], {"_xs": F.col("_x")}, lags, 0, [group], time_col, order, seconds=seconds)
     products = [F.expr(f"sum(get(_xs, _pos) * get(_xs, _pos - {k}))").alias(f"_p{k}") for k in range(lags + 1)]
     sums = spread.groupBy(group).agg(F.first("_n").alias("_n"), *products)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import group_id, require_columns
+from loadcast.functions.columns import null_safe, require_columns, series_key
 from loadcast.operators.positions import DAY_SECONDS, time_bucket
 
 
@@ -56,22 +56,25 @@ def hourly_first(
     time_col: str = "datetime",
     group: str = "country",
 ) -> DataFrame:
-    """One row per (hour, series): the first non-NULL value in the hour, at the hour's start.
+    """One row per (hour, series): the first non-NULL value in the hour, at the hour's start. Rows without a
+    time belong to no hour; ``unread_points`` counts those of documents.
 
     Raw readings may be given directly: with ``order`` breaking equal times, the result equals
     de-duplicating first, at the price of one aggregation instead of two.
     """
     hour = F.date_trunc("hour", time_col).alias(time_col)
     first = first_by(value, [time_col, *order]).alias(value)
-    return df.where(F.col(value).isNotNull()).groupBy(hour, F.col(group)).agg(first)
+    timed = df.where(F.col(value).isNotNull() & F.col(time_col).isNotNull())
+    return timed.groupBy(hour, F.col(group)).agg(first)
 
 
 def hourly_grid(df: DataFrame, time_col: str = "datetime", group: str = "country") -> DataFrame:
     """The hourly panel with a row for every hour between a series' first and last, NULL in gaps.
 
-    The hours are laid out per day of each series, so one series is spread over many tasks.
+    Full hours are laid out per day of each series, so one series is spread over many tasks. Every row given
+    is among the result, also one off the full hour, without a time or without a series.
     """
-    span = df.groupBy(group).agg(F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi"))
+    span = df.groupBy(group).agg(F.date_trunc("hour", F.min(time_col)).alias("_lo"), F.max(time_col).alias("_hi"))
     day = F.make_dt_interval(days=F.lit(1))
     hour = F.make_dt_interval(hours=F.lit(1))
     days = span.withColumn("_day", F.explode(F.sequence(F.date_trunc("day", "_lo"), F.col("_hi"), day)))
@@ -79,7 +82,7 @@ def hourly_grid(df: DataFrame, time_col: str = "datetime", group: str = "country
         F.greatest("_day", "_lo"), F.least(F.col("_day") + day - hour, F.col("_hi")), hour
     )
     grid = days.select(F.explode(hours).alias(time_col), group)
-    return grid.join(df, [time_col, group], "left")
+    return null_safe(grid, df, [time_col, group], "full")
 
 
 def ffill(
@@ -97,7 +100,7 @@ def ffill(
     """
     keys = ["_group", "_bucket"]
     keyed = df.withColumns(
-        {"_group": group_id(groups), "_bucket": time_bucket(F.col(time_col), seconds)}
+        {"_group": series_key(groups), "_bucket": time_bucket(F.col(time_col), seconds)}
     )
     # A single order column keeps the aggregation on a hash table.
     position = F.struct(time_col, *order) if order else F.col(time_col)

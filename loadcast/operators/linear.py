@@ -15,22 +15,45 @@ from loadcast.operators.windows import no_gaps
 
 @dataclass(frozen=True)
 class CrossProducts:
-    """``ZᵀZ`` of the rows ``Z = (1, X, Y)``; its size depends on the widths only."""
-
-    matrix: np.ndarray
+    """Moments of the rows ``Z = (X, Y)``: their number, means, least and greatest values, and the sums of products
+    of the distances from the means. Their size depends on the widths only."""
+
+    rows: int
+    mean: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    centred: np.ndarray
     x_dim: int
 
-    @property
-    def rows(self) -> float:
-        return float(self.matrix[0, 0])
+    @staticmethod
+    def of(z: np.ndarray, x_dim: int) -> CrossProducts:
+        mean = z.mean(axis=0)
+        apart = z - mean
+        return CrossProducts(len(z), mean, z.min(axis=0), z.max(axis=0), apart.T @ apart, x_dim)
+
+    def merged(self, other: CrossProducts) -> CrossProducts:
+        """The moments of both sets of rows; nothing is subtracted that is large against its result."""
+        if (self.x_dim, len(self.mean)) != (other.x_dim, len(other.mean)):
+            raise ValueError("rows of different widths")
+        n = self.rows + other.rows
+        gap = other.mean - self.mean
+        return CrossProducts(
+            n,
+            self.mean + gap * (other.rows / n),
+            np.minimum(self.low, other.low),
+            np.maximum(self.high, other.high),
+            self.centred + other.centred + np.outer(gap, gap) * (self.rows * other.rows / n),
+            self.x_dim,
+        )
 
 
 @dataclass(frozen=True)
 class LinearModel:
-    """``Y = intercept + X @ weights``."""
+    """``Y = intercept + X @ weights``; ``dropped`` are the features that never varied and so have no weight."""
 
     intercept: np.ndarray
     weights: np.ndarray
+    dropped: tuple[int, ...] = ()
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.intercept
@@ -54,97 +77,103 @@ class LinearModel:
         return LinearModel(full[0], full[1:])
 
 
-def cross_product_table(df: DataFrame, x: str = "X", y: str = "Y", by: Sequence[str] = ()) -> DataFrame:
-    """Sums ``(by…, i, j, s)`` of products of the entries of ``(1, X, Y)``.
+# Tasks that the moments of all tasks are merged in before they reach the driver.
+MERGE_TASKS = 16
+MOMENTS = "x_dim int, n long, mean array<double>, low array<double>, high array<double>, centred array<double>"
+
 
-    Every task reduces its rows to one matrix per ``by`` value with BLAS; the matrices leave it
-    as one array per matrix row and are added up by Spark. Rows with a NULL entry are left out.
+def moment_table(df: DataFrame, x: str = "X", y: str = "Y", by: Sequence[str] = ()) -> DataFrame:
+    """Moments of ``(X, Y)`` as rows ``(by…, x_dim, n, mean, low, high, centred)``, at most ``MERGE_TASKS`` per ``by``.
+
+    Every task reduces its rows to one matrix per ``by`` value with BLAS; whole matrices are then merged in a
+    few tasks. Rows with a NULL or NaN entry are left out.
     """
-    schema = df.schema
-    by_types = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in by)
-    names = list(by)
+    schema, names = df.schema, list(by)
+    columns = ", ".join([*(f"`{c}` {schema[c].dataType.simpleString()}" for c in by), MOMENTS])
 
-    def partials(batches):
-        import numpy as np
+    def reduced(batches, read):
         import pyarrow as pa
 
         sums = {}
-
-        def matrix(column, n):
-            flat = column.flatten()
-            return flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-
         for batch in batches:
-            keys = [batch.column(c).to_pylist() for c in names]
-            labels = list(zip(*keys)) if names else [()] * batch.num_rows
-            if not batch.num_rows:
-                continue
-            z = np.hstack(
-                [
-                    np.ones((batch.num_rows, 1)),
-                    matrix(batch.column("_x"), batch.num_rows),
-                    matrix(batch.column("_y"), batch.num_rows),
-                ]
-            )
-            for label in set(labels):
-                part = z if not names else z[[k == label for k in labels]]
-                total = sums.get(label)
-                product = part.T @ part
-                sums[label] = product if total is None else total + product
-        for label, total in sums.items():
-            d = total.shape[0]
-            columns = [pa.array([v] * d) for v in label]
-            columns.append(pa.array(range(d), pa.int32()))
-            offsets = pa.array(np.arange(d + 1) * d, pa.int32())
-            columns.append(pa.ListArray.from_arrays(offsets, pa.array(total.reshape(-1))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "i", "s"])
+            for label, part in read(batch):
+                known = sums.get(label)
+                sums[label] = part if known is None else known.merged(part)
+        for label, m in sums.items():
+            arrays = [pa.array([v]) for v in label]
+            arrays += [pa.array([m.x_dim], pa.int32()), pa.array([m.rows], pa.int64())]
+            arrays += [pa.array([v.reshape(-1)], pa.list_(pa.float64())) for v in (m.mean, m.low, m.high, m.centred)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "x_dim", "n", "mean", "low", "high", "centred"])
+
+    def from_rows(batch):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not batch.num_rows:
+            return
+
+        def matrix(column):
+            return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+        left, right = matrix(batch.column("_x")), matrix(batch.column("_y"))
+        z = np.hstack([left, right])
+        if not names:
+            yield (), CrossProducts.of(z, left.shape[1])
+            return
+        code = np.zeros(len(z), dtype=np.int64)
+        for c in names:
+            coded = pc.dictionary_encode(batch.column(c), null_encoding="encode")
+            code = code * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
+        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        for k, at in enumerate(first.tolist()):
+            label = tuple(batch.column(c)[at].as_py() for c in names)
+            yield label, CrossProducts.of(z[np.flatnonzero(inverse == k)], left.shape[1])
+
+    def from_moments(batch):
+        for r in batch.to_pylist():
+            yield tuple(r[c] for c in names), _moments(r)
 
     doubles = df.select(*by, F.col(x).cast("array<double>").alias("_x"), F.col(y).cast("array<double>").alias("_y"))
     doubles = doubles.where(no_gaps(F.col("_x")) & no_gaps(F.col("_y")))
-    out_schema = (by_types + ", " if by_types else "") + "i int, s array<double>"
-    blocks = doubles.mapInArrow(partials, out_schema)
-    cells = blocks.select(*by, "i", F.posexplode("s").alias("j", "_v"))
-    return cells.groupBy(*by, "i", "j").agg(F.sum("_v").alias("s"))
+    parts = doubles.mapInArrow(lambda batches: reduced(batches, from_rows), columns)
+    return parts.repartition(MERGE_TASKS).mapInArrow(lambda batches: reduced(batches, from_moments), columns)
+
+
+def _moments(row: dict) -> CrossProducts:
+    mean, low, high, centred = (np.asarray(row[c], dtype=float) for c in ("mean", "low", "high", "centred"))
+    return CrossProducts(int(row["n"]), mean, low, high, centred.reshape(len(mean), -1), int(row["x_dim"]))
 
 
 def cross_products(df: DataFrame, x: str = "X", y: str = "Y", by: str | None = None) -> dict[str | None, CrossProducts]:
-    """The summed matrices on the driver, one per ``by`` value (a split name, for instance).
+    """The merged moments on the driver, one per ``by`` value (a split name, for instance).
 
-    Each has (1 + x_dim + y_dim)² entries, independent of the number of rows.
+    Each has about (x_dim + y_dim)² entries, independent of the number of rows.
     """
-    sizes = df.select(F.size(x).alias("x")).first()
-    if sizes is None:
-        raise ValueError("no rows to fit on")
-    table = cross_product_table(df, x, y, [by] if by else [])
-    local = table.toPandas()
-    if local.empty:
+    out: dict[str | None, CrossProducts] = {}
+    for row in moment_table(df, x, y, [by] if by else []).toArrow().to_pylist():
+        label, part = row[by] if by else None, _moments(row)
+        out[label] = out[label].merged(part) if label in out else part
+    if not out:
         raise ValueError("no complete rows to fit on")
-    parts = local.groupby(by) if by else [(None, local)]
-    out = {}
-    for label, part in parts:
-        d = int(part["i"].max()) + 1
-        matrix = np.zeros((d, d))
-        matrix[part["i"].to_numpy(), part["j"].to_numpy()] = part["s"].to_numpy()
-        out[label] = CrossProducts(matrix, sizes["x"])
     return out
 
 
 def solve(products: CrossProducts, penalty: float = 0.0) -> LinearModel:
-    """Least squares with a ridge ``penalty`` (per row) on the weights, not on the intercept."""
-    d, n = products.x_dim, products.rows
-    m = products.matrix / n
-    mean_x, mean_y = m[0, 1 : d + 1], m[0, d + 1 :]
-    xx = m[1 : d + 1, 1 : d + 1] - np.outer(mean_x, mean_x)
-    xy = m[1 : d + 1, d + 1 :] - np.outer(mean_x, mean_y)
-    spread = np.sqrt(np.clip(np.diag(xx), 0, None))
-    # A column without spread (rounding noise of its square at most) gets no weight.
-    used = spread > 1e-7 * np.maximum(np.abs(mean_x), 1e-300)
+    """Least squares with a ridge ``penalty`` (per row) on the weights, not on the intercept.
+
+    Only features that never vary get no weight; the model names them.
+    """
+    d = products.x_dim
+    mean_x, mean_y = products.mean[:d], products.mean[d:]
+    m = products.centred / products.rows
+    xx, xy = m[:d, :d], m[:d, d:]
+    used = (products.low[:d] < products.high[:d]) & (np.diag(xx) > 0)
     weights = np.zeros_like(xy)
     if used.any():
-        s = spread[used]
+        s = np.sqrt(np.diag(xx)[used])
         left = xx[np.ix_(used, used)] / np.outer(s, s) + np.diag(penalty / s**2)
         weights[used] = np.linalg.lstsq(left, xy[used] / s[:, None], rcond=1e-12)[0] / s[:, None]
-    return LinearModel(mean_y - mean_x @ weights, weights)
+    return LinearModel(mean_y - mean_x @ weights, weights, tuple(np.flatnonzero(~used).tolist()))
 
 
 def linear_fit(df: DataFrame, penalty: float = 0.0, x: str = "X", y: str = "Y") -> LinearModel:
@@ -153,14 +182,13 @@ def linear_fit(df: DataFrame, penalty: float = 0.0, x: str = "X", y: str = "Y")
 
 
 def squared_error(model: LinearModel, products: CrossProducts) -> float:
-    """Mean squared error of a model over the rows behind the cross products."""
-    d, n = products.x_dim, products.rows
-    b = np.vstack([model.intercept, model.weights])
-    m = products.matrix / n
-    zz, zy = m[: d + 1, : d + 1], m[: d + 1, d + 1 :]
-    yy = np.diag(m)[d + 1 :]
-    per_lead = yy - 2 * np.sum(b * zy, axis=0) + np.sum(b * (zz @ b), axis=0)
-    return float(np.mean(per_lead))
+    """Mean squared error of a model over the rows behind the moments."""
+    d = products.x_dim
+    m = products.centred / products.rows
+    w = model.weights
+    offset = products.mean[d:] - products.mean[:d] @ w - model.intercept
+    spread = np.diag(m)[d:] - 2 * np.sum(w * m[:d, d:], axis=0) + np.sum(w * (m[:d, :d] @ w), axis=0)
+    return float(np.mean(spread + offset**2))
 
 
 def ridge_grid(

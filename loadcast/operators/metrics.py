@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import quoted
+from loadcast.functions.columns import null_safe, quoted, series_key
 
 
 def attach_forecast(
     features: DataFrame, forecast: DataFrame, keys: Sequence[str] = ("country", "time_idx")
 ) -> DataFrame:
-    """Feature rows with their truth and prediction, matched by series and position."""
+    """Feature rows with their truth and prediction, matched by series (NULL too) and position."""
     extra = [c for c in forecast.columns if c not in features.columns or c in keys]
-    return features.join(forecast.select(*extra), list(keys), "inner")
+    return null_safe(features, forecast.select(*extra), list(keys))
 
 
 def forecast_long(
@@ -27,11 +28,16 @@ def forecast_long(
     return exploded.select(
         *keep,
         (F.col("_i") + 1).alias("lead"),
-        F.col("_s.t").cast("double").alias("y_true"),
-        F.col("_s.p").cast("double").alias("y_pred"),
+        number(F.col("_s.t").cast("double")).alias("y_true"),
+        number(F.col("_s.p").cast("double")).alias("y_pred"),
     )
 
 
+def number(value: Column) -> Column:
+    """NaN as NULL."""
+    return F.when(~F.isnan(value), value)
+
+
 def forecast_wide(
     df: DataFrame, keep: Sequence[str], target: str, leads: int, truth: str = "real"
 ) -> DataFrame:
@@ -45,7 +51,7 @@ def forecast_wide(
 
 
 def _partials() -> list[Column]:
-    t, p = F.col("y_true"), F.col("y_pred")
+    t, p = number(F.col("y_true")), number(F.col("y_pred"))
     both = t.isNotNull() & p.isNotNull()
     t, p = F.when(both, t), F.when(both, p)
     return [
@@ -57,30 +63,30 @@ def _partials() -> list[Column]:
         F.var_pop(t).alias("_vt"),
         F.var_pop(p).alias("_vp"),
         F.covar_pop(t, p).alias("_c"),
+        F.min(t).alias("_tl"),
+        F.max(t).alias("_th"),
+        F.min(p).alias("_pl"),
+        F.max(p).alias("_ph"),
     ]
 
 
+def _mean(x: Column) -> Column:
+    return F.sum(F.col("_n") * x) / F.nullif(F.sum("_n"), F.lit(0))
+
+
 def _moments() -> dict[str, Column]:
-    """Metrics from partial means and variances, weighted by their row counts."""
-    n = F.sum("_n")
-
-    def mean(x: Column) -> Column:
-        return F.sum(F.col("_n") * x) / F.nullif(n, F.lit(0))
-
-    t, p = F.col("_t"), F.col("_p")
-    vt = mean(F.col("_vt") + t * t) - mean(t) * mean(t)
-    vp = mean(F.col("_vp") + p * p) - mean(p) * mean(p)
-    ct = mean(F.col("_c") + t * p) - mean(t) * mean(p)
-    # A constant series leaves only rounding noise here, far below this share of its square.
-    vt = F.when(vt > mean(t) * mean(t) * 1e-14, vt)
-    vp = F.when(vp > mean(p) * mean(p) * 1e-14, vp)
-    mse = mean(F.col("_sd"))
+    """Metrics from partial means and variances and their distance from the group's means ``_mt`` and ``_mp``."""
+    dt, dp = F.col("_t") - F.col("_mt"), F.col("_p") - F.col("_mp")
+    vt, vp, ct = _mean(F.col("_vt") + dt * dt), _mean(F.col("_vp") + dp * dp), _mean(F.col("_c") + dt * dp)
+    vt = F.when(F.min("_tl") < F.max("_th"), vt)
+    vp = F.when(F.min("_pl") < F.max("_ph"), vp)
+    mse = _mean(F.col("_sd"))
     return {
-        "n": n,
-        "mae": mean(F.col("_ad")),
+        "n": F.sum("_n"),
+        "mae": _mean(F.col("_ad")),
         "mse": mse,
         "rmse": F.sqrt(mse),
-        "correlacao_pearson": ct / F.sqrt(vt * vp),
+        "correlacao_pearson": ct / (F.sqrt(vt) * F.sqrt(vp)),
         "r2": 1 - mse / vt,
     }
 
@@ -91,18 +97,23 @@ def metrics_by(
     """The five metrics for several grouping sets from one pass over the forecast rows.
 
     Rows are first reduced to one row of means and variances per finest group, map-side where
-    possible; the grouping sets then work on those few rows. Columns that a set does not use
-    are NULL. Constant truth or prediction gives NULL for correlation and R².
+    possible; each grouping set then merges those few rows around its own mean, so no digits are lost to
+    the size of the values. Columns that a set does not use are NULL. Steps with a NULL or NaN do not
+    count; constant truth or prediction gives NULL for correlation and R².
     """
     finest = list(dict.fromkeys([*fixed, *[c for s in sets for c in s]]))
     partial = long.groupBy(*finest).agg(*_partials())
-    wanted = [[F.col(c) for c in (*fixed, *s)] for s in sets]
-    moments = _moments()
-    if finest:
-        grouped = partial.groupingSets(wanted, *[F.col(c) for c in finest])
-    else:
-        grouped = partial.groupBy()
-    return grouped.agg(*[v.alias(k) for k, v in moments.items()])
+    merged = []
+    for wanted in sets:
+        names = [c for c in finest if c in {*fixed, *wanted}]
+        key = series_key(names)
+        means = partial.groupBy(key.alias("_k")).agg(_mean(F.col("_t")).alias("_mt"), _mean(F.col("_p")).alias("_mp"))
+        around = partial.withColumn("_k", key).join(means, "_k")
+        out = around.groupBy(*names).agg(*[v.alias(k) for k, v in _moments().items()])
+        types = {f.name: f.dataType for f in partial.schema.fields}
+        shown = [F.col(c) if c in names else F.lit(None).cast(types[c]).alias(c) for c in finest]
+        merged.append(out.select(*shown, *_moments()))
+    return reduce(DataFrame.unionAll, merged)
 
 
 def metrics_global(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +139,7 @@ def rank_models(long: DataFrame, top: int | None = None, model: str = "model") -
 
 def mape(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean absolute error relative to the truth; steps with truth 0 do not count."""
-    ratio = F.abs(F.col("y_pred") - F.col("y_true")) / F.nullif(F.abs("y_true"), F.lit(0.0))
+    ratio = number(F.abs(F.col("y_pred") - F.col("y_true")) / F.nullif(F.abs("y_true"), F.lit(0.0)))
     return long.groupBy(*by).agg(F.avg(ratio).alias("mape"))
 
 
@@ -137,5 +148,5 @@ def pinball_loss(
 ) -> DataFrame:
     """Mean quantile loss per quantile; ``y_pred`` is the forecast of that quantile."""
     q, e = F.col(quantile), F.col("y_true") - F.col("y_pred")
-    loss = F.greatest(q * e, (q - 1) * e)
+    loss = number(F.greatest(q * e, (q - 1) * e))
     return long.groupBy(*by, quantile).agg(F.avg(loss).alias("pinball"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import group_id
+from loadcast.functions.columns import series_key
 
 DAY_SECONDS = 86_400
 TARGET_BUCKET_ROWS = 250_000
@@ -22,8 +22,8 @@ def time_bucket(time: Column, seconds: int = DAY_SECONDS) -> Column:
 
 
 def _micros_bucket(micros: Column, width: int) -> Column:
-    """Exact floor division, also before 1970."""
-    return ((micros - F.pmod(micros, F.lit(width))) / width).cast("bigint")
+    """Floor division in integers, also before 1970."""
+    return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
 
 
 def bucket_seconds(df: DataFrame, time_col: str = "datetime") -> int:
@@ -54,7 +54,7 @@ def with_positions(
     group is spread over its buckets.
     """
     keys = ["_group", "_bucket"]
-    keyed = df.withColumns({"_group": group_id(groups), "_bucket": bucket})
+    keyed = df.withColumns({"_group": series_key(groups), "_bucket": bucket})
     earlier = (
         Window.partitionBy("_group")
         .orderBy("_bucket")
@@ -190,6 +190,16 @@ def at_or_before(boundary: dict | None, time_col: str) -> Column:
     return (time <= stamp) & ((time < stamp) | (row <= last))
 
 
+def before(boundary: dict, time_col: str) -> Column:
+    """True for rows before a boundary row, in the order it was found in."""
+    time, stamp = F.col(time_col), F.timestamp_micros(F.lit(boundary["us"]))
+    if not boundary["ties"]:
+        return time < stamp
+    row = F.struct(*[F.col(c) for c in boundary["ties"]])
+    last = F.struct(*[v.alias(c) for c, v in boundary["ties"].items()])
+    return (time < stamp) | ((time == stamp) & (row < last))
+
+
 def _any(tests: Sequence[Column]) -> Column:
     result = tests[0]
     for test in tests[1:]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import group_id
+from loadcast.functions.columns import series_key
 from loadcast.functions.noise import hash_number
 from loadcast.operators.bounds import broadcast_if_bounded
 from loadcast.operators.positions import TARGET_BUCKET_ROWS, with_positions
@@ -24,11 +24,17 @@ def _hashed(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
     still a task of ordinary size.
     """
     bits = min(max(math.ceil(math.log2(max(df.count(), 1) / TARGET_BUCKET_ROWS)), 0) + 2, MAX_BUCKET_BITS)
-    row_key = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+    row_key = F.concat_ws("|", *[_part(c) for c in key])
     hashed = df.withColumn("_hash", hash_number(row_key, seed))
     return hashed.withColumn("_slot", F.shiftright("_hash", HASH_BITS - bits))
 
 
+def _part(name: str) -> Column:
+    """A key column as text of its own: bars and backslashes inside are marked, and NULL is no text."""
+    marked = F.regexp_replace(F.col(name).cast("string"), r"([|\\])", r"\\$1")
+    return F.coalesce(marked, F.lit("\\N"))
+
+
 def sample_per_group(
     df: DataFrame, fraction: float, key: Sequence[str], groups: Sequence[str] = ("country",), seed: int = 42
 ) -> DataFrame:
@@ -38,7 +44,7 @@ def sample_per_group(
     same under any partitioning. Counts per hash slot tell in which slot a group's sample ends:
     rows of earlier slots are kept where they are, and only that slot is ranked.
     """
-    hashed = _hashed(df, key, seed).withColumn("_group", group_id(groups))
+    hashed = _hashed(df, key, seed).withColumn("_group", series_key(groups))
     counts = hashed.groupBy("_group", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy("_group").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_n").over(Window.partitionBy("_group")).cast("double")

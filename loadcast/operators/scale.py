@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import GLOBAL_GROUP, NOISE_SUFFIX, as_double, group_id, unique
+from loadcast.functions.columns import GLOBAL_GROUP, NOISE_SUFFIX, as_double, series_label, unique
 from loadcast.operators.bounds import broadcast_if_bounded
 
 METHODS = ("standard", "minmax")
@@ -30,7 +30,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()
             for c in columns
         ]
     )
-    keyed = df.withColumn("group", group_id(groups)) if groups else df.withColumn("group", F.lit(GLOBAL_GROUP))
+    keyed = df.withColumn("group", series_label(groups)) if groups else df.withColumn("group", F.lit(GLOBAL_GROUP))
     rows = keyed.groupBy("group").agg(stats.alias("_stats"))
     return rows.select("group", F.inline("_stats")).select("col", "group", "mean", "std", "min", "max")
 
@@ -63,7 +63,7 @@ def _apply(df: DataFrame, state: DataFrame, method: str, pairs: dict[str, str],
         *[F.max(F.when(F.col("col") == b, F.col("offset"))).alias(f"_o{i}") for i, b in enumerate(bases)],
         *[F.max(F.when(F.col("col") == b, F.col("scale"))).alias(f"_s{i}") for i, b in enumerate(bases)],
     )
-    joined = df.withColumn("_group", group_id(groups)).join(broadcast_if_bounded(wide), "_group", "left")
+    joined = df.withColumn("_group", series_label(groups)).join(broadcast_if_bounded(wide), "_group", "left")
     new = {
         c: formula(df, c, F.col(f"_o{bases.index(b)}"), F.col(f"_s{bases.index(b)}")) for c, b in pairs.items()
     }

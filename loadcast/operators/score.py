@@ -21,7 +21,9 @@ def score_external(
     """Rows without ``x`` and ``y`` but with ``y_pred`` and, from ``y``, ``y_true``.
 
     ``predict`` gets a (rows, width) double matrix per Arrow batch and returns (rows, leads).
-    It is sent to the executors once per task; rows stay where they are.
+    It is sent to the executors once per task; rows stay where they are. Rows without ``x`` are not shown to
+    it and have no ``y_pred``; a NULL inside ``x`` is NaN, and NaN in a forecast becomes NULL. All ``x`` of a
+    batch must be of one length.
     """
     keys = [c for c in df.columns if c not in (x, y)]
     truth = [F.col(y).cast("array<double>").alias("y_true")] if y else []
@@ -37,14 +39,23 @@ def score_external(
             if not n:
                 continue
             place = batch.schema.get_field_index("_x")
-            flat = batch.column(place).flatten()
-            values = flat.to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-            forecast = np.asarray(predict(values), dtype=float).reshape(n, -1)
-            width = forecast.shape[1]
-            offsets = pa.array(np.arange(n + 1) * width, pa.int32())
+            given = batch.column(place)
+            there = given.is_valid().to_numpy(zero_copy_only=False)
+            rows_there = int(there.sum())
+            lengths = np.diff(given.offsets.to_numpy())[there]
+            if rows_there and (lengths != lengths[0]).any():
+                raise ValueError(f"{x} has rows of different lengths")
+            forecast = np.zeros((0, 0))
+            if rows_there:
+                values = given.filter(pa.array(there)).flatten().to_numpy(zero_copy_only=False)
+                forecast = np.asarray(predict(values.astype(float).reshape(rows_there, -1)), dtype=float)
+                forecast = forecast.reshape(rows_there, -1)
+            ends = np.concatenate([[0], np.cumsum(there)]) * forecast.shape[1]
+            offsets = pa.array(ends.astype(np.int32), pa.int32(), mask=np.concatenate([~there, [False]]))
+            numbers = pa.array(forecast.reshape(-1), mask=np.isnan(forecast.reshape(-1)))
             kept = [i for i in range(batch.num_columns) if i != place]
             columns = [batch.column(i) for i in kept]
-            columns.append(pa.ListArray.from_arrays(offsets, pa.array(forecast.reshape(-1))))
+            columns.append(pa.ListArray.from_arrays(offsets, numbers))
             names = [batch.schema.names[i] for i in kept] + ["y_pred"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

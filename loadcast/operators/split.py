@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.operators.positions import at_or_before, row_boundaries
+from loadcast.operators.positions import at_or_before, before, row_boundaries, with_positions
 
 SPLITS = ("train", "val", "test")
 
@@ -23,9 +23,10 @@ class SplitCuts:
     val_end: dict | None
 
     def label(self) -> Column:
-        """The split name of a row; a plain expression, so applying it moves no data."""
+        """The split name of a row, NULL without a time; a plain expression, so applying it moves no data."""
         return (
-            F.when(at_or_before(self.train_end, self.time_col), SPLITS[0])
+            F.when(F.col(self.time_col).isNull(), F.lit(None).cast("string"))
+            .when(at_or_before(self.train_end, self.time_col), SPLITS[0])
             .when(at_or_before(self.val_end, self.time_col), SPLITS[1])
             .otherwise(SPLITS[2])
         )
@@ -38,7 +39,7 @@ class SplitCuts:
         until = None if "test" in keep else self.val_end if "val" in keep else self.train_end
         test = F.lit(True)
         if after:
-            test = test & ((time >= F.timestamp_micros(F.lit(after["us"]))) | time.isNull())
+            test = test & (time >= F.timestamp_micros(F.lit(after["us"])))
         if until:
             test = test & (time <= F.timestamp_micros(F.lit(until["us"])))
         return test
@@ -97,18 +98,37 @@ def split_rows(df: DataFrame, cuts: SplitCuts, keep: Sequence[str]) -> DataFrame
 def head_fraction(
     df: DataFrame, size: float, time_col: str = "datetime", order: Sequence[str] = ()
 ) -> DataFrame:
-    """The first ``int(n * size)`` rows in time order."""
+    """The first ``int(n * size)`` rows in the order (time, ``order``); rows without a time do not count."""
     rank = F.floor(F.col("_total").cast("double") * F.lit(float(size)))
-    last = row_boundaries(df, [rank], list(order), time_col)[0]
-    return df.where(at_or_before(last, time_col))
+    return _head(df, rank, time_col, order)
 
 
 def max_samples(
     df: DataFrame, n: int | None, time_col: str = "datetime", order: Sequence[str] = ()
 ) -> DataFrame:
-    """The first ``n`` rows in time order; all of them for no or a non-positive ``n``."""
+    """The first ``n`` rows in the order (time, ``order``); all of them for no or a non-positive ``n``."""
     if not n or n <= 0:
         return df
-    rank = F.least(F.lit(int(n)), F.col("_total"))
+    return _head(df, F.least(F.lit(int(n)), F.col("_total")), time_col, order)
+
+
+def _head(df: DataFrame, rank: Column, time_col: str, order: Sequence[str]) -> DataFrame:
+    """Exactly as many rows as ``rank`` says. If several share the last place, which of them stay is decided
+    by a hash of all their columns, the same under any partitioning; they are ranked in buckets of that hash."""
     last = row_boundaries(df, [rank], list(order), time_col)[0]
-    return df.where(at_or_before(last, time_col))
+    if last is None:
+        return df.where(F.lit(False))
+    until, below = at_or_before(last, time_col), before(last, time_col)
+    tied = until & ~below
+    timed = df.where(F.col(time_col).isNotNull())
+    wanted, sure, ties = (
+        timed.agg(F.count(F.lit(1)).alias("_total"), F.count_if(below).alias("_sure"), F.count_if(tied).alias("_ties"))
+        .select(rank.cast("long"), "_sure", "_ties")
+        .first()
+    )
+    if sure + ties == wanted:
+        return df.where(until)
+    hashed = timed.where(tied).withColumn("_hash", F.xxhash64(*df.columns))
+    slot = F.shiftright("_hash", 48)
+    ranked = with_positions(hashed, slot, [F.col("_hash")], (), "_nth")
+    return df.where(below).unionByName(ranked.where(F.col("_nth") < wanted - sure).select(*df.columns))

@@ -23,6 +23,7 @@ from loadcast.functions.columns import (
     noise_rename,
     quoted,
     require_columns,
+    series_key,
     unique,
 )
 from loadcast.operators.bounds import broadcast_if_bounded
@@ -70,7 +71,7 @@ def chunked(
     )
     record = F.struct("time_idx", *carry, *[v.alias(f"_a_{n}") for n, v in arrays.items()])
     chunks = (
-        rows.select(group_id(groups).alias("_group"), record.alias("_row"), F.col("time_idx"))
+        rows.select(series_key(groups).alias("_group"), record.alias("_row"), F.col("time_idx"))
         .withColumn("_chunk", F.explode(reach))
         # Lists do not shrink before the shuffle, so rows are moved as they are and grouped once.
         .repartition("_group", "_chunk")
@@ -190,12 +191,20 @@ def time_lag_lead(
 ) -> DataFrame:
     """Lags and leads by hour instead of row position, so a missing hour gives NULL.
 
-    The hourly panel is completed with its empty hours, where the two agree; the rows added
-    for that are taken out again.
+    Readings at the same minute past the hour form a lane of their series. A lane is completed with its empty
+    hours, where positions and hours agree; the rows added for that are taken out again. Rows without a time
+    have no lags and leads.
     """
-    marked = hourly_grid(df.withColumn("_present", F.lit(True)), time_col, group)
-    wide = lag_lead(marked, lagged, led, lags, leads, groups=[group], time_col=time_col)
-    return wide.where("_present").drop("_present", "time_idx")
+    past_hour = F.unix_micros(time_col) - F.unix_micros(F.date_trunc("hour", time_col))
+    laned = df.withColumns({"_present": F.lit(True), "_lane": past_hour})
+    full = laned.where(F.col(time_col).isNotNull())
+    on_hour = full.withColumn(time_col, F.date_trunc("hour", time_col)).withColumn("_series", F.struct(group, "_lane"))
+    marked = hourly_grid(on_hour.drop(group, "_lane"), time_col, "_series")
+    wide = lag_lead(marked, lagged, led, lags, leads, groups=["_series"], time_col=time_col).where("_present")
+    back = F.timestamp_micros(F.unix_micros(time_col) + F.col("_series._lane")).cast(df.schema[time_col].dataType)
+    named = wide.withColumns({time_col: back, group: F.col(f"_series.{group}")}).drop("_present", "_series", "time_idx")
+    names = [*df.columns, *[c for c in named.columns if c not in df.columns]]
+    return named.select(*names).unionByName(df.where(F.col(time_col).isNull()), allowMissingColumns=True)
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -428,7 +437,7 @@ def min_length_groups(
     Series are counted by partial aggregation and their keys joined back; no series is
     gathered in one task.
     """
-    key = group_id(groups)
+    key = series_key(groups)
     long_enough = (
         df.groupBy(key.alias("_group"))
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from loadcast.functions.clock import TIME_PARTS
 from loadcast.functions.columns import (
     feature_target_lists,
-    group_id,
+    series_key,
     numeric_columns,
     quoted,
     require_columns,
@@ -90,7 +90,7 @@ def group_profile(df: DataFrame, groups: Sequence[str], time_col: str = "datetim
 
     Rows are counted per series first, so no distinct set grows with the data.
     """
-    per_series = df.groupBy(*by, group_id(groups).alias("_group")).agg(
+    per_series = df.groupBy(*by, series_key(groups).alias("_group")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi")
     )
     return per_series.groupBy(*by).agg(

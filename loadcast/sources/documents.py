@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loadcast.functions.clock import (
     parse_period_start,
     period_format,
-    point_time,
-    resolution_minutes,
+    point_time_seconds,
+    resolution_seconds,
 )
 
 _PERIOD = (
@@ -64,7 +64,7 @@ def parse_load_xml(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("coun
         .where(F.col("position").isNotNull() & F.col("quantity").isNotNull())
     )
     start = parse_period_start(F.col("period_start"))
-    time = point_time(start, F.col("position"), resolution_minutes(F.col("resolution")))
+    time = point_time_seconds(start, F.col("position"), resolution_seconds(F.col("resolution")))
     return points.select(
         *keep,
         "position",
@@ -75,6 +75,13 @@ def parse_load_xml(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("coun
     )
 
 
+def unread_points(points: DataFrame) -> DataFrame:
+    """How many parsed points have no time, by resolution and whether the period's start could be read."""
+    unread = points.where(F.col("datetime").isNull())
+    readable = parse_period_start(F.col("period_start")).isNotNull().alias("start_read")
+    return unread.groupBy("resolution", readable).agg(F.count(F.lit(1)).alias("points"))
+
+
 def build_load_xml(df: DataFrame, minutes: int = 1) -> DataFrame:
     """Readings as documents: one per series and day, with a point per ``minutes`` step.
 

@@ -5,7 +5,6 @@ from helpers import T0, as_set, at, hours
 from pyspark.sql import functions as F
 
 from loadcast.functions.columns import (
-    expand_steps,
     feature_target_lists,
     noise_rename,
     numeric_only,
@@ -109,10 +108,6 @@ def test_column_lists(spark):
     assert feature_target_lists(df, ["n", "t", "n", "s"], ["t"]) == (["n"], ["t"])
     with pytest.raises(ValueError):
         require_columns(df, ["n", "z"])
-    assert expand_steps(3) == [1, 2, 3]
-    assert expand_steps(None, 2) == [1, 2]
-    assert expand_steps([4, 9]) == [4, 9]
-    assert expand_steps(0) == expand_steps(None) == [1]
 
 
 def test_noise_column_takes_the_name_and_place(spark):

@@ -4,7 +4,7 @@ import pytest
 from helpers import T0, as_set, hours, noise_series
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import floor_hour, resolution_minutes, time_parts
+from loadcast.functions.clock import floor_hour, resolution_minutes, resolution_seconds, time_parts
 from loadcast.operators.windows import flat_matrix, panel_frame, sequence_windows, step_columns, window_country_id
 from loadcast.session import scratch_path
 from loadcast.sources import datasets as D
@@ -35,7 +35,7 @@ def test_xml_points(spark, res, second):
 
 
 def test_xml_odd_documents(spark):
-    assert {q for t, q in parsed(spark, DOC.format(res="P1D")) if t is None} == {10.0, 11.5}
+    assert {q for t, q in parsed(spark, DOC.format(res="P1M")) if t is None} == {10.0, 11.5}
     assert parsed(spark, "<Ack><reason>none</reason></Ack>") == set()
     assert parsed(spark, "this is not xml") == set()
     root_period = "<Doc><Period><timeInterval><start>2024-01-01T00:00:00Z</start></timeInterval><resolution>PT60M</resolution><Point><position>1</position><quantity>3</quantity></Point></Period></Doc>"
@@ -58,8 +58,12 @@ def test_xml_round_trip(spark):
 
 
 def test_resolution_and_grid(spark):
-    texts = spark.createDataFrame([("PT15M",), ("PT1H",), ("P1D",), ("",), (None,), ("PTxM",)], "t string")
-    assert [r[0] for r in texts.select(resolution_minutes(F.col("t"))).collect()] == [15, 60, None, None, None, None]
+    durations = {"PT15M": 900, "PT1H": 3600, "P1D": 86_400, "P7D": 604_800, "PT1H30M": 5400, "PT30S": 30, "P1DT1H": 90_000}
+    durations |= dict.fromkeys(["", None, "PTxM", "P", "PT", "P1DT", "P1M", "P1Y", "PT15", "15M"])
+    texts = spark.createDataFrame([(t,) for t in durations], "t string")
+    found = texts.select(resolution_seconds(F.col("t")), resolution_minutes(F.col("t"))).collect()
+    assert [r[0] for r in found] == list(durations.values())
+    assert [r[1] for r in found] == [None if s is None or s % 60 else s // 60 for s in durations.values()]
     series = spark.createDataFrame([("FR",), ("ES",)], "country string")
     end = floor_hour(F.lit("2024-01-04 05:30:00").cast("timestamp"))
     grid = request_grid(series, end - F.make_dt_interval(days=F.lit(3)), end).collect()
