@@ -165,11 +165,12 @@ def _(spark, sf):
 
 
 @REGISTRY.add("resolution_minutes", (
-    "SELECT event_id, CASE WHEN value < 5 THEN -1 WHEN value > 50 THEN hour(ts) ELSE 60 * hour(ts) END::INTEGER AS minutes FROM events"
+    "SELECT event_id, CASE WHEN value < 5 THEN -1 WHEN value < 10 THEN 1440 + 60 * hour(ts) WHEN value > 50 THEN hour(ts) ELSE 60 * hour(ts) END::INTEGER AS minutes FROM events"
 ))
 def _(spark, sf):
     unit = F.when(F.col("value") > 50, "M").otherwise("H")
-    text = F.when(F.col("value") < 5, "P1D").otherwise(F.concat(F.lit("PT"), F.hour("ts").cast("string"), unit))
+    text = F.concat(F.lit("PT"), F.hour("ts").cast("string"), unit)
+    text = F.when(F.col("value") < 5, "P1M").when(F.col("value") < 10, F.concat(F.lit("P1DT"), F.hour("ts").cast("string"), F.lit("H"))).otherwise(text)
     return table(spark, sf, "events").select("event_id", F.coalesce(resolution_minutes(text), F.lit(-1)).alias("minutes"))
 
 

@@ -34,6 +34,7 @@ from loadcast.operators.metrics import forecast_wide
 from loadcast.operators.scale import fit_scaler
 from loadcast.operators.split import fit_split, split_fraction, split_keep
 from loadcast.operators.windows import flat_matrix, panel_frame, sequence_windows, step_columns
+from loadcast.plans.collect import collect_load
 from loadcast.session import scratch_path
 from loadcast.sources.datasets import (
     read_flat_split,
@@ -44,10 +45,9 @@ from loadcast.sources.datasets import (
     write_panel_split,
     write_seq_split,
 )
-from loadcast.sources.documents import build_load_xml, parse_load_xml, request_grid
+from loadcast.sources.documents import build_load_xml, land_documents, parse_load_xml, request_grid
 from loadcast.sources.measurements import (
     as_measurements,
-    filter_countries,
     load_state,
     read_forecast_csv,
     save_state,
@@ -73,7 +73,7 @@ def split_panel(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark, sf):
     readings = as_measurements(table(spark, sf, "events"), "ts", "event_type", "value")
-    return filter_countries(readings, ["click", "view"])
+    return scan_measurements(spark, write_base(readings, scratch_path(spark, "readings")), ["click", "view"])
 
 
 @REGISTRY.add(
@@ -89,6 +89,19 @@ def _(spark, sf):
     return parse_load_xml(build_load_xml(raw(spark, sf).groupBy(minute, "country").agg(first)))
 
 
+@REGISTRY.add("collect_load", (
+    f"WITH {RAW}, minutely AS (SELECT date_trunc('minute', raw.datetime) AS datetime, country, "
+    "first(quantity_MW ORDER BY raw.datetime, event_id) AS v FROM raw GROUP BY 1, 2) "
+    f"SELECT date_trunc('hour', datetime) AS datetime, country, {r('first(v ORDER BY datetime)', 'quantity_MW')} FROM minutely GROUP BY 1, 2"
+))
+def _(spark, sf):
+    minute = F.date_trunc("minute", "datetime").alias("datetime")
+    first = F.min_by(VALUE, F.struct("datetime", "event_id")).alias(VALUE)
+    documents = build_load_xml(raw(spark, sf).groupBy(minute, "country").agg(first))
+    landed = land_documents(documents, scratch_path(spark, "landed"))
+    return scan_measurements(spark, collect_load(spark, landed, scratch_path(spark, "base")))
+
+
 @REGISTRY.add(
     "request_grid",
     f"WITH {RAW}, ends AS (SELECT country, date_trunc('hour', max(datetime)) AS hi FROM raw GROUP BY country), "

@@ -24,10 +24,12 @@ from loadcast.catalog.tables import (
 from loadcast.functions.clock import time_parts
 from loadcast.operators.encode import label_encode, label_fit
 from loadcast.operators.positions import time_idx
+from loadcast.operators.scale import fit_scaler
 from loadcast.operators.windows import (
     flat_matrix,
     lag_lead,
     last_step_features,
+    min_length_groups,
     panel_frame,
     panel_windows,
     sequence_windows,
@@ -53,6 +55,51 @@ def _(spark, sf):
     return lag_lead(hourly(spark, sf), [VALUE], [], range(1, LAG + 1), [])
 
 
+# Two series columns whose joined texts are alike, one of them NULL for some series.
+PAIR = {"click": ("a_b", "c"), "view": ("a", "b_c"), "error": (None, "c"), "purchase": ("__nan__", "c"), "signup": ("a", None)}
+
+
+def pair_sql(i: int) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN " + (f"'{v[i]}'" if v[i] else "NULL") for k, v in PAIR.items())
+    return f"CASE country {cases} END AS {'pq'[i]}"
+
+
+def paired(rows):
+    """The rows with the columns ``p`` and ``q`` in place of the series."""
+    names = F.create_map(*[F.lit(x) for k, v in PAIR.items() for x in (k, F.struct(*[F.lit(t).cast("string").alias(c) for c, t in zip("pq", v)]))])
+    return rows.withColumn("_pair", names[F.col("country")]).withColumns({"p": F.col("_pair.p"), "q": F.col("_pair.q")}).drop("_pair", "country")
+
+
+@REGISTRY.add("lag_features_multi", (
+    f"SELECT * EXCLUDE (country), {pair_sql(0)}, {pair_sql(1)} FROM ("
+    + wide_sql(lag_sql("quantity_MW_lag", range(1, 4)) + lead_sql("quantity_MW_lead", range(1, 3)), [*LAGS[:3], *LEADS[:2]])
+    + ")"
+))
+def _(spark, sf):
+    return lag_lead(paired(hourly(spark, sf)), [VALUE], [VALUE], range(1, 4), range(1, 3), groups=["p", "q"])
+
+
+@REGISTRY.add("min_length_multi", (
+    f"WITH {HOURLY}, counted AS (SELECT *, strftime(datetime, '%Y-%m-%d') AS day, count(*) OVER (PARTITION BY country, date_trunc('day', datetime)) AS n FROM hourly) "
+    f"SELECT datetime, {r('quantity_MW', 'quantity_MW')}, {pair_sql(0)}, {pair_sql(1)}, day FROM counted WHERE n >= {SEQ + LEAD}"
+))
+def _(spark, sf):
+    rows = paired(hourly(spark, sf)).withColumn("day", F.date_format("datetime", "yyyy-MM-dd"))
+    return min_length_groups(rows, SEQ + LEAD, ["p", "q", "day"])
+
+
+LABEL = {"click": r"a\_b_c", "view": r"a_b\_c", "error": "__nan___c", "purchase": r"\_\_nan\_\__c", "signup": "a___nan__"}
+
+
+@REGISTRY.add("scaler_fit_multi", (
+    f"WITH {HOURLY} SELECT 'quantity_MW' AS col, CASE country " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABEL.items())
+    + f" END AS \"group\", {r('avg(quantity_MW)', 'mean')}, {r('stddev_pop(quantity_MW)', 'std')}, {r('min(quantity_MW)', 'min')}, "
+    f"{r('max(quantity_MW)', 'max')} FROM hourly GROUP BY country"
+))
+def _(spark, sf):
+    return fit_scaler(paired(hourly(spark, sf)), [VALUE], ["p", "q"])
+
+
 @REGISTRY.add("lag_masked", wide_sql(
     lag_sql("quantity_MW_lag", range(1, SEQ + 1)) + [f"-999::DOUBLE AS quantity_MW_lag{k}" for k in range(SEQ + 1, LAG + 1)], LAGS
 ))

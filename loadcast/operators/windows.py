@@ -403,15 +403,19 @@ def panel_windows(
     time_col: str = "datetime",
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
+    observed: Sequence[str] = (),
 ) -> DataFrame:
     """Fixed encoder/decoder windows of a panel frame.
 
     ``encoder_target`` are the observed values, ``decoder_target`` those to forecast, and the
-    ``known`` columns are given for every step of both. A row stands for the last encoder step.
+    ``known`` columns are given for every step of both. ``observed`` columns, if any, are given for the
+    encoder's steps alone, as ``encoder_observed``. A row stands for the last encoder step.
     """
     step_known = F.array(*[F.col(c).cast("double") for c in known])
     kept = unique([*groups, time_col, *order])
     arrays = {"_ys": as_double(df, target), "_ks": step_known}
+    if observed:
+        arrays["_os"] = F.array(*[as_double(df, c) for c in observed])
     rows = chunked(
         df, kept, arrays, encoder - 1, decoder, groups, time_col, order, chunk_rows, indexed=True
     ).where(has_past(encoder) & has_future("_ys", decoder))
@@ -421,6 +425,7 @@ def panel_windows(
         future("_ys", decoder).alias("decoder_target"),
         F.flatten(past("_ks", encoder)).alias("encoder_known"),
         F.flatten(future("_ks", decoder)).alias("decoder_known"),
+        *([F.flatten(past("_os", encoder)).alias("encoder_observed")] if observed else []),
     )
     return rows.select(*kept, "time_idx", cut_out(window)).select(
         "*",

@@ -162,12 +162,17 @@ def read_seq_split(spark: SparkSession, path: str, split: str, steps: bool = Tru
     )
 
 
-def known_reals(df: DataFrame, features: Sequence[str], targets: Sequence[str], groups: Sequence[str]) -> list[str]:
-    """Reals known ahead of time: position, clock parts, and other numeric features."""
-    parts = [c for c in df.columns if c in TIME_PARTS]
+def known_reals(df: DataFrame, also: Sequence[str] = ()) -> list[str]:
+    """Reals known ahead of time: position, clock parts, and what the caller names."""
+    return unique(["time_idx", *[c for c in df.columns if c in TIME_PARTS], *also])
+
+
+def observed_reals(
+    df: DataFrame, features: Sequence[str], targets: Sequence[str], groups: Sequence[str], known: Sequence[str]
+) -> list[str]:
+    """Numeric features that are measured and so not known ahead; a noisy target is one."""
     numeric = set(numeric_columns(df))
-    other = [c for c in features if c in numeric and c not in {*targets, *groups, *parts}]
-    return unique(["time_idx", *parts, *other])
+    return [c for c in unique(features) if c in numeric and c not in {*targets, *groups, *known}]
 
 
 def write_panel_split(
@@ -179,8 +184,14 @@ def write_panel_split(
     lead: int,
     groups: Sequence[str] = ("country",),
     time_col: str = "datetime",
+    known: Sequence[str] = (),
 ) -> DataFrame:
-    """Panel frame with a ``split`` column; returns the metadata."""
+    """Panel frame with a ``split`` column; returns the metadata.
+
+    Position, clock parts and the features named in ``known`` are known ahead; all other numeric features count
+    as observed, as the targets are.
+    """
+    ahead = known_reals(df, known)
     require_columns(df, ["split", "_group_id", "time_idx", time_col, *groups])
     write_splits(df, path)
     written = df.sparkSession.read.parquet(path)
@@ -192,9 +203,9 @@ def write_panel_split(
     schema = {
         "static_categoricals": texts(groups),
         "time_varying_known_categoricals": texts([]),
-        "time_varying_known_reals": texts(known_reals(df, features, targets, groups)),
+        "time_varying_known_reals": texts(ahead),
         "time_varying_unknown_categoricals": texts([]),
-        "time_varying_unknown_reals": texts(targets),
+        "time_varying_unknown_reals": texts([*targets, *observed_reals(df, features, targets, groups, ahead)]),
         "target": F.lit(targets[0]),
         "group_ids": texts(groups),
         "max_encoder_length": F.lit(lag),
@@ -223,12 +234,14 @@ def write_panel_split(
 def read_panel_split(
     spark: SparkSession, path: str, split: str, windows: bool = False, known: Sequence[str] | None = None
 ) -> DataFrame:
-    """The panel as written, or its fixed encoder/decoder windows."""
+    """The panel as written, or its fixed encoder/decoder windows. Observed features reach the encoder only."""
     rows = read_split(spark, path, split)
     if not windows:
         return rows
     meta = _split_meta(spark, path, split, "panel")
     reals = known or meta["tft_schema"]["time_varying_known_reals"]
+    schema = meta["tft_schema"]
+    observed = [c for c in schema["time_varying_unknown_reals"] if c not in {*meta["target_cols"], *reals}]
     return panel_windows(
-        rows, meta["tft_schema"]["target"], meta["lag"], meta["lead"], reals, meta["group_cols"], meta["time_col"]
+        rows, schema["target"], meta["lag"], meta["lead"], reals, meta["group_cols"], meta["time_col"], observed=observed
     )

@@ -40,13 +40,20 @@ def read_load_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "xml")
 
 
+def land_documents(documents: DataFrame, path: str) -> str:
+    """Writes one file per document (``country``, ``xml``) below ``country=…`` folders."""
+    writer = documents.select("country", "xml").write.option("maxRecordsPerFile", 1)
+    writer.partitionBy("country").text(path)
+    return path
+
+
 def parse_load_xml(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("country",)) -> DataFrame:
     """One row per point of every period in the documents.
 
     Columns ``keep``, ``position``, ``quantity_MW``, ``period_start``, ``resolution``,
     ``datetime``. Namespaces do not matter. Points without position or quantity are skipped;
-    documents without a period, or that are not XML, give no rows. A resolution other than
-    ``PTnM``/``PTnH`` leaves ``datetime`` NULL.
+    documents without a period, or that are not XML, give no rows. A resolution that is
+    no duration of days, hours, minutes and seconds leaves ``datetime`` NULL (see ``unread_points``).
     """
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
     parsed = df.select(*keep, F.from_xml(F.col(xml), DOCUMENT, options).alias("_doc"))

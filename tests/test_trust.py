@@ -14,8 +14,10 @@ from loadcast.operators.sample import sample_per_group
 from loadcast.operators.scale import fit_scaler, scale_inverse, scale_transform
 from loadcast.operators.score import score_external
 from loadcast.operators.split import fit_split, head_fraction, max_samples, split_fraction
-from loadcast.operators.windows import lag_lead, min_length_groups, time_lag_lead
-from loadcast.sources.datasets import group_profile
+from loadcast.functions.clock import time_parts
+from loadcast.operators.windows import lag_lead, min_length_groups, panel_frame, time_lag_lead
+from loadcast.sources.datasets import group_profile, read_panel_split, write_panel_split
+from loadcast.sources.documents import parse_load_xml, unread_points
 
 V = "quantity_MW"
 PAIRS = [("a_b", "c"), ("a", "b_c"), (None, "c"), ("__nan__", "c"), ("a\\", "c"), ("a", None)]
@@ -144,3 +146,30 @@ def test_small_spreads_get_their_weight(spark):
     model = linear_fit(spark.createDataFrame(rows, "X array<double>, Y array<double>").repartition(5))
     assert model.weights[:2, 0] == pytest.approx([3.0, -2.0], rel=1e-6)
     assert model.weights[2, 0] == 0.0 and list(model.dropped) == [2]
+
+
+def test_measurements_stay_in_the_past(spark, tmp_path):
+    rows = [(T0, "A", float(i), 0.5 + i) for i in range(12)]
+    df = spark.createDataFrame(rows, f"datetime timestamp, country string, {V} double, {V}_noise double")
+    df = time_parts(df.withColumn("datetime", F.col("datetime") + F.make_dt_interval(hours=F.col(V).cast("int"))))
+    panel = panel_frame(df).withColumn("split", F.lit("train"))
+    path = str(tmp_path / "panel")
+    write_panel_split(panel, path, [f"{V}_noise", "hour"], [V], 3, 2)
+    windows = read_panel_split(spark, path, "train", windows=True).orderBy("time_idx").collect()
+    assert len(windows) == 8
+    for r in windows:
+        assert r.encoder_observed == [x + 0.5 for x in r.encoder_target]
+        assert not {x + 0.5 for x in r.decoder_target} & set(r.decoder_known)
+        assert r.decoder_known == [float(x) for t in (1, 2) for x in (r.time_idx + t, 2024, 1, 1, r.time_idx + t, 0)]
+    named = read_panel_split(spark, path, "train", windows=True, known=["time_idx", f"{V}_noise"]).first()
+    assert "encoder_observed" not in named.asDict() and len(named.decoder_known) == 4
+
+
+def test_unread_points_are_counted(spark):
+    point = "<Point><position>1</position><quantity>5</quantity></Point>"
+    doc = "<D><Period><timeInterval><start>{}</start></timeInterval><resolution>{}</resolution>" + point + "</Period></D>"
+    texts = [("A", doc.format("2024-01-01T00:00Z", d)) for d in ("PT30S", "P1M", "P1M")] + [("A", doc.format("soon", "PT1H"))]
+    points = parse_load_xml(spark.createDataFrame(texts, "country string, xml string"))
+    assert points.where("datetime is not null").count() == 1
+    found = {(r.resolution, r.start_read, r.points) for r in unread_points(points).collect()}
+    assert found == {("P1M", True, 2), ("PT1H", False, 1)}
