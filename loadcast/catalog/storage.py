@@ -28,13 +28,14 @@ from loadcast.catalog.tables import (
     table,
     unpack,
 )
-from loadcast.functions.clock import floor_hour, time_parts
-from loadcast.operators.encode import label_fit
+from loadcast.functions.clock import CYCLE_COLUMNS, floor_hour, time_cycle, time_parts
+from loadcast.operators.encode import label_encode, label_fit
 from loadcast.operators.metrics import forecast_wide
-from loadcast.operators.scale import fit_scaler
+from loadcast.operators.scale import fit_scaler, scale_transform
 from loadcast.operators.split import fit_split, split_fraction, split_keep
 from loadcast.operators.windows import flat_matrix, panel_frame, sequence_windows, step_columns
 from loadcast.plans.collect import collect_load
+from loadcast.plans.evaluate import result_table
 from loadcast.session import scratch_path
 from loadcast.sources.datasets import (
     read_flat_split,
@@ -180,6 +181,29 @@ def _(spark, sf):
     return read_flat_split(spark, flat_written(spark, sf), "train")
 
 
+@REGISTRY.add("result_table", (
+    f"WITH {SPLIT}, wide AS (SELECT *, {columns(lead_sql('r', range(1, LEAD + 1)))}, "
+    + columns([f"lag(quantity_MW, {LAG - k}) OVER w AS p{k}" for k in range(1, LEAD + 1)])
+    + " FROM sidx WINDOW w AS (PARTITION BY split, country ORDER BY datetime)) SELECT country, datetime, round(quantity_MW, 2) AS quantity_MW, "
+    + columns([f"round(r{k}, 2) AS quantity_MW_lead{k}_real, round(p{k}, 2) AS quantity_MW_lead{k}_pred" for k in range(1, LEAD + 1)])
+    + f" FROM wide WHERE split = 'train' AND time_idx >= {LAG} AND time_idx + {LEAD} < n"
+))
+def _(spark, sf):
+    panel = split_panel(spark, sf)
+    train = split_keep(panel, ["train"]).withColumn("year", F.year("datetime"))
+    scaler, labels = fit_scaler(train, [VALUE]), label_fit(train, ["country", "year"])
+    encoded = label_encode(time_cycle(panel), labels, ["country"])
+    flat = flat_matrix(scale_transform(encoded, scaler, [VALUE]), [VALUE], [VALUE], LAG, LEAD, groups=GROUPS)
+    features = [*CYCLE_COLUMNS, "year", *FEATURES]
+    path = scratch_path(spark, "scaled")
+    write_flat_split(flat, path, features, TARGETS, ["country"])
+    day_before = [features.index(f"{VALUE}_lag{LAG - k}") for k in range(1, LEAD + 1)]
+    rows = read_flat_split(spark, path, "train")
+    table_ = result_table(rows, features, TARGETS, lambda x: x[:, day_before], scaler, VALUE, labels)
+    values = [VALUE, *[f"{VALUE}_lead{k}_{kind}" for k in range(1, LEAD + 1) for kind in ("real", "pred")]]
+    return table_.select("country", F.col("datetime").cast("timestamp_ntz").alias("datetime"), *[F.round(c, 2).alias(c) for c in values])
+
+
 SEQ_X = [f"x{i}" for i in range(1, SEQ + 1)]
 SEQ_Y = [f"y{k}" for k in range(1, LEAD + 1)]
 

@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.functions.clock import CYCLE_COLUMNS, time_cycle_decode
 from loadcast.functions.noise import noise_array
 from loadcast.operators.encode import label_decode
-from loadcast.operators.metrics import forecast_long, metrics_by, metrics_by_country
-from loadcast.operators.scale import inverse_arrays
+from loadcast.operators.metrics import forecast_long, forecast_wide, metrics_by, metrics_by_country
+from loadcast.operators.scale import inverse_arrays, scale_inverse
 from loadcast.operators.score import score_external
+from loadcast.operators.windows import flat_arrays
 
 Predict = Callable[[np.ndarray], np.ndarray]
 
@@ -40,6 +42,35 @@ def forecasts(
     return scored
 
 
+def result_table(
+    flat: DataFrame,
+    features: Sequence[str],
+    targets: Sequence[str],
+    predict: Predict,
+    scaler: DataFrame,
+    base: str = "quantity_MW",
+    dictionary: DataFrame | None = None,
+    method: str = "standard",
+    time_col: str = "datetime",
+    country: str = "country",
+) -> DataFrame:
+    """Rows of a flat split, as read back, with truth and prediction of every step, in original units.
+
+    Scaled features are un-scaled, the time is decoded from the cycle columns and the year, the series from its
+    code if a ``dictionary`` is given, and ``{base}_lead{k}_real`` and ``_pred`` are attached. Sorted by series and time.
+    """
+    kept = [c for c in flat.columns if c not in targets]
+    packed = flat_arrays(flat.select(*[F.col(c).alias(f"_k_{c}") for c in kept], *flat.columns), features, targets)
+    scored = score_external(packed.select(*[f"_k_{c}" for c in kept], "X", "Y"), predict)
+    named = scored.withColumnsRenamed({f"_k_{c}": c for c in kept})
+    plain = inverse_arrays(scale_inverse(named, scaler, [base], method), scaler, base, ["y_true", "y_pred"], method)
+    decoded = time_cycle_decode(plain, time_col) if set(CYCLE_COLUMNS) <= set(kept) else plain
+    if dictionary is not None:
+        decoded = label_decode(decoded, dictionary, [country])
+    shown = [c for c in decoded.columns if c not in {*CYCLE_COLUMNS, "year", "y_true", "y_pred"}]
+    return forecast_wide(decoded, shown, base, len(targets)).orderBy(country, time_col)
+
+
 def evaluate(windows: DataFrame, predict: Predict, by: Sequence[str] = (), **options) -> DataFrame:
     """The five metrics overall, per step, per series, and per series and step, each per ``by``."""
     scored = forecasts(windows, predict, **options)
@@ -57,9 +88,18 @@ def noise_degradation(
 ) -> DataFrame:
     """The five metrics per noise level; noise goes on ``X`` only, the truth stays as it is.
 
-    Every row is scored once per level inside its task; only partial sums are shuffled.
+    The noise of an element is drawn once and scaled for every level. Every row is scored once per level inside
+    its task; only partial sums are shuffled.
     """
-    levels = windows.withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
-    noisy = levels.withColumn("X", noise_array(F.col("X"), key, F.col("sigma"), seed, sentinel))
+    draws = noise_array(F.transform("X", lambda _: F.lit(0.0)), key, 1.0, seed)
+    levels = windows.withColumn("_z", draws).select(
+        *keep, "X", "Y", "_z", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])).alias("sigma")
+    )
+
+    def moved(x: Column, z: Column) -> Column:
+        noisy = x + F.col("sigma") * z
+        return noisy if sentinel is None else F.when(x == F.lit(sentinel), x).otherwise(noisy)
+
+    noisy = levels.withColumn("X", F.zip_with("X", "_z", moved))
     scored = score_external(noisy.select(*keep, "sigma", "X", "Y"), predict)
     return metrics_by(forecast_long(scored, [*keep, "sigma"]), [[]], [*keep, "sigma"])

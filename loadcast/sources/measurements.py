@@ -37,10 +37,11 @@ def write_base(
 ) -> str:
     """The table in Parquet. Partition columns let later reads skip whole folders.
 
-    A partition value is written by as many tasks as hold rows of it, so a hot series is not
-    gathered in one task.
+    Rows are first brought together by partition value, so that not every task writes a file for every value;
+    adaptive execution splits a value with many rows again.
     """
-    writer = df.write.mode("errorifexists").option("compression", compression)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    writer = rows.write.mode("errorifexists").option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
