@@ -15,7 +15,8 @@ SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 )
-CELLS = 4096
+#: Cells of the hash range, as bits, and the orders of its documents that a source may choose from.
+CELL_BITS, ORDERS = 12, 8
 OWN = ("size", "source_size", "target", "copies", "positions")
 
 
@@ -44,7 +45,8 @@ def curriculum(
 
     A document's place is the start of its cell of the hash range, exact, plus its share of the cell, so rows
     need no sort and no shuffle: only sums per (source, cell) are gathered, and a source with most of all rows
-    is spread over its cells. A source's taken words miss its target by half a document or half a cell.
+    is spread over its cells. Of ``ORDERS`` hash orders a source takes that in which some first part comes
+    nearest to what its last, partial round needs; its taken words miss the target by part of a document or of a cell.
 
     Null text has size 0, null source is a source of its own (the last). Repeated rows and equal ids share
     their hash and so their copies. Rows of a source without words have target 0, no copies and empty
@@ -52,34 +54,47 @@ def curriculum(
     replaced.
     """
     kept = [c for c in docs.columns if c not in OWN]
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = docs.select(
-        *kept,
-        word_count(text_col).alias("size"),
-        F.col(source_col).alias("_source"),
-        F.shiftrightunsigned(h, 52).cast("int").alias("_cell"),
-        ((h.bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("_share"),
+    rows = docs.select(*kept, word_count(text_col).alias("size"), F.col(source_col).alias("_source"))
+    orders = F.array(*[F.lit(seed * 1000 + i) for i in range(ORDERS)])
+    spread = rows.select("_source", "size", F.col(id_col).alias("_id"), F.explode(orders).alias("_order"))
+    cells = cut(
+        spread.groupBy("_source", "_order", _cell(F.xxhash64("_order", "_id")).alias("_cell")).agg(
+            F.sum("size").alias("_words")
+        )
     )
-    cells = cut(rows.groupBy("_source", "_cell").agg(F.sum("size").alias("_words")))
-    targets = _targets(cells, weights, most)
-    n_cells = cells.count()
-    line = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    targets = cut(_targets(cells.where(F.col("_order") == seed * 1000), weights, most))
+    line = Window.partitionBy("_source", "_order").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_start", F.coalesce(F.sum("_words").over(line), F.lit(0)))
-    t = targets.alias("t")
-    placed = cut(
-        starts.alias("c")
-        .join(t, F.col("c._source").eqNullSafe(F.col("t._source")))
-        .select("c._source", "_cell", "_words", "_start", "source_size", "target", "_class")
+    whole = F.col("source_size")
+    rounds = F.when(whole > 0, F.floor(F.col("target") / whole)).otherwise(0).cast("int")
+    t = targets.withColumn("_rounds", rounds).alias("t")
+    placed = starts.alias("c").join(t, F.col("c._source").eqNullSafe(F.col("t._source"))).drop(F.col("t._source"))
+    need = F.col("target") - F.col("_rounds") * whole
+    # The end of a part is the start of a cell; cells of several documents may be cut inside, so they miss by less.
+    miss = F.min(F.least(F.abs(need - F.col("_start")), F.abs(need - F.col("_start") - F.col("_words"))))
+    by_order = placed.groupBy("_source", "_order").agg(miss.alias("_miss"))
+    chosen = by_order.groupBy("_source").agg(F.min(F.struct("_miss", "_order")).alias("_best"))
+    chosen = cut(chosen.select("_source", F.col("_best._order").alias("_order")))
+    o = chosen.alias("o")
+    mine = placed.alias("q").join(
+        o, F.col("q._source").eqNullSafe(F.col("o._source")) & (F.col("q._order") == F.col("o._order")), "left_semi"
+    )
+    mine = cut(mine.select("_source", "_cell", "_words", "_start", "source_size", "target", "_class", "_rounds"))
+    looked_up = small(mine, mine.count(), BROADCAST_ROWS).alias("p")
+    ordered = rows.alias("d").join(
+        small(chosen, chosen.count(), BROADCAST_ROWS).alias("o"), F.col("d._source").eqNullSafe(F.col("o._source"))
     )
-    looked_up = small(placed, n_cells, BROADCAST_ROWS).alias("p")
+    h = F.xxhash64("o._order", F.col(f"d.{id_col}"))
+    rows = ordered.select("d.*", _cell(h).alias("_cell"), (h.bitwiseAND(F.lit(_REST)) / F.lit(float(_REST + 1))).alias("_share"))
     joined = rows.alias("r").join(
         looked_up,
         F.col("r._source").eqNullSafe(F.col("p._source")) & (F.col("r._cell") == F.col("p._cell")),
     )
-    size, whole = F.col("size"), F.col("source_size")
+    size = F.col("size")
     middle = F.col("_start") + F.col("_share") * (F.col("_words") - size) + size / 2
-    rounds = F.when(whole > 0, F.floor(F.col("target") / whole)).otherwise(0).cast("int")
-    with_place = joined.select(*[f"r.{c}" for c in kept], "size", "source_size", "target", "_class", middle.alias("_middle"), rounds.alias("_rounds"))
+    with_place = joined.select(
+        *[f"r.{c}" for c in kept], "size", "source_size", "target", "_class", "_rounds", middle.alias("_middle")
+    )
     extra = F.col("_middle") < F.col("target") - F.col("_rounds") * whole
     copies = F.when(F.col("target") > 0, F.col("_rounds") + extra.cast("int")).otherwise(0).alias("copies")
     taken = with_place.select("*", copies)
@@ -90,6 +105,13 @@ def curriculum(
     return taken.select(*kept, "size", "source_size", "target", "copies", at.alias("positions"))
 
 
+_REST = (1 << (64 - CELL_BITS)) - 1
+
+
+def _cell(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
+
+
 def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per copy, sorted over ranges of ``position``: the training order. Not taken rows are gone."""
     exploded = mixed.withColumn("position", F.explode("positions"))
