@@ -21,7 +21,7 @@ LEAST, MOST = 1 / 2000, 1 / 5
 LEXICONS, DENSEST, SPARSEST = 64, 3, 9
 #: Terms that a task counts before it hands them on.
 HELD_TERMS = 500_000
-DOCS_PER_BUCKET, MOST_BUCKETS = 2500, 50_000
+DOCS_PER_BUCKET, MOST_BUCKETS = 500, 50_000
 TERM = re.compile(r"\w+")
 
 
