@@ -31,6 +31,8 @@ from loadcast.operators.clean import hourly_grid
 from loadcast.operators.positions import DAY_SECONDS, time_idx
 
 MIN_CHUNK_ROWS = 256
+# New columns up to which Spark compiles a projection together with what is below it.
+COMPILED_COLUMNS = 80
 DOUBLES = T.ArrayType(T.DoubleType())
 COUNTRY = ("country",)
 
@@ -154,7 +156,8 @@ def lag_lead(
     Steps in ``masked`` get the constant ``mask_value``. A ``_noise`` suffix of a lagged column
     is left out of the new names. With ``complete`` only rows without NULL among the lags and
     leads are kept; that needs steps 1..n and is tested on the arrays, so that no filter over
-    hundreds of columns has to be planned.
+    hundreds of columns has to be planned. With many new columns the last projection is not compiled any more; it
+    then gets a row's own window, cut before, and not the arrays of its chunk.
     """
     require_columns(df, [*lagged, *led, *groups, time_col, *order])
     names = unique([*lagged, *led])
@@ -170,13 +173,21 @@ def lag_lead(
             rows = rows.where(has_past(before + 1) & whole(place[c], F.slice(place[c], F.col("_pos") - (before - 1), F.lit(before))))
         for c in led:
             rows = rows.where(has_future(place[c], after) & whole(place[c], future(place[c], after)))
+    wide = len(lagged) * len(lags) + len(led) * len(leads) > COMPILED_COLUMNS
+    if wide:
+        seen = F.least("_pos", F.lit(before))
+        cuts = [F.slice(place[c], F.col("_pos") - seen + 1, seen).alias(f"_b{i}") for i, c in enumerate(lagged)]
+        cuts += [future(place[c], after).alias(f"_f{i}") for i, c in enumerate(led)]
+        rows = rows.select(*carry, "time_idx", cut_out(F.struct(*cuts)))
     new = []
-    for c in lagged:
+    for i, c in enumerate(lagged):
         base = c.removesuffix(NOISE_SUFFIX)
-        new += [f"get({place[c]}, _pos - {k}) AS {quoted(f'{base}_lag{k}')}" for k in lags]
+        value = f"get(_b{i}, size(_b{i}) - {{}})" if wide else f"get({place[c]}, _pos - {{}})"
+        new += [f"{value.format(k)} AS {quoted(f'{base}_lag{k}')}" for k in lags]
         new += [f"double({float(mask_value)!r}) AS {quoted(f'{base}_lag{k}')}" for k in masked]
-    for c in led:
-        new += [f"get({place[c]}, _pos + {k}) AS {quoted(f'{c}_lead{k}')}" for k in leads]
+    for i, c in enumerate(led):
+        value = f"get(_f{i}, {{}} - 1)" if wide else f"get({place[c]}, _pos + {{}})"
+        new += [f"{value.format(k)} AS {quoted(f'{c}_lead{k}')}" for k in leads]
     return rows.selectExpr(*map(quoted, [*carry, "time_idx"]), *new)
 
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
-from helpers import T0, as_set
+from helpers import T0, as_set, hours, noise_series
 from pyspark.sql import functions as F
 
+from loadcast.operators import windows
 from loadcast.operators.autocorr import acf
 from loadcast.operators.clean import ffill, hourly_first, hourly_grid
 from loadcast.operators.linear import linear_fit
@@ -155,9 +156,9 @@ def test_measurements_stay_in_the_past(spark, tmp_path):
     panel = panel_frame(df).withColumn("split", F.lit("train"))
     path = str(tmp_path / "panel")
     write_panel_split(panel, path, [f"{V}_noise", "hour"], [V], 3, 2)
-    windows = read_panel_split(spark, path, "train", windows=True).orderBy("time_idx").collect()
-    assert len(windows) == 8
-    for r in windows:
+    cut = read_panel_split(spark, path, "train", windows=True).orderBy("time_idx").collect()
+    assert len(cut) == 8
+    for r in cut:
         assert r.encoder_observed == [x + 0.5 for x in r.encoder_target]
         assert not {x + 0.5 for x in r.decoder_target} & set(r.decoder_known)
         assert r.decoder_known == [float(x) for t in (1, 2) for x in (r.time_idx + t, 2024, 1, 1, r.time_idx + t, 0)]
@@ -173,3 +174,17 @@ def test_unread_points_are_counted(spark):
     assert points.where("datetime is not null").count() == 1
     found = {(r.resolution, r.start_read, r.points) for r in unread_points(points).collect()}
     assert found == {("P1M", True, 2), ("PT1H", False, 1)}
+
+
+def test_wide_windows_are_cut_in_compiled_code(spark, monkeypatch):
+    series = {"A": noise_series(700), "B": [None if i % 97 == 5 else v for i, v in enumerate(noise_series(40, 2))]}
+    df = hours(spark, series)
+    for complete in (False, True):
+        wide = lag_lead(df, [V], [V], range(1, 241), range(1, 73), complete=complete)
+        monkeypatch.setattr(windows, "COMPILED_COLUMNS", 10_000)
+        plain = lag_lead(df, [V], [V], range(1, 241), range(1, 73), complete=complete)
+        monkeypatch.undo()
+        assert as_set(wide) == as_set(plain) and wide.columns == plain.columns
+        assert wide.count() == (700 - 240 - 72 if complete else 740)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline(array" in plan
