@@ -46,12 +46,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(fp.view(np.int64))], ["id", "key", "fp"])
 
     named = docs.select(
-        F.col(id_col).cast("long").alias("id"), _row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")
     )
     return named.mapInArrow(run, "id long, key long, fp long")
 
 
-def _row_key(id_col: str, text_col: str):
+def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
@@ -168,6 +168,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     classes = cut(prints.groupBy("fp").agg(first))
     roots = components(near_links(classes.select("fp"), radius), "a", "b")
+    return members(prints, classes, roots)
+
+
+def members(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (id, key, fp) with the least id and the keeper of the component that their class ``fp`` belongs to."""
     member = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     known = member.join(least, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.key").alias("keeper"))
@@ -180,7 +185,12 @@ def deduplicate(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str
     All columns are kept as they are; of repeated rows with the keeper's id and text one stays.
     """
     found = near_duplicates(docs, radius, shingle, id_col, text_col)
+    return keepers(docs, found, id_col, text_col)
+
+
+def keepers(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, each once."""
     keep = found.where("key = keeper").select(F.col("key").alias("_row_key")).distinct()
-    rows = docs.withColumn("_row_key", _row_key(id_col, text_col)).join(keep, "_row_key")
+    rows = docs.withColumn("_row_key", row_key(id_col, text_col)).join(keep, "_row_key")
     one = Window.partitionBy("_row_key").orderBy("_row_key")
     return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_row_key")

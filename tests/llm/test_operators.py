@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loadcast.llm import chat, common, imatch, langid, mixing, neighbours, packing, pii, simhash, toxicity, warc
+import corpus_pipeline
+from loadcast.llm import chat, common, imatch, langid, mixing, neighbours, overlap, packing, pii, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {
@@ -164,6 +165,39 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_stage_joins_texts_with_most_shingles_in_common(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 400))]
+        for j in range(4):
+            edited = [w if rng.random() > 0.015 * j else f"e{rng.randrange(5000)}" for w in words]
+            rows.append((3000 + 4 * i + j, "  ".join(edited).upper() if j == 3 else " ".join(edited), "xa", "s", 1))
+    both = docs.unionByName(spark.createDataFrame(rows, DOCS)).repartition(5)
+    texts = [(r.doc_id, r.text) for r in both.select("doc_id", "text").collect()]
+
+    def plain(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [plain(t) for _, t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in links * 6:
+        root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for r, (d, _) in zip(root, texts):
+        least[r] = min(least.get(r, 10**9), 10**9 if d is None else d)
+    expected = sorted(least.values())
+    for part in (overlap.PART_ROWS, 2):
+        monkeypatch.setattr(overlap, "PART_ROWS", part)
+        kept = corpus_pipeline.one_of_near_copies(spark, both, "")
+        assert kept.columns == both.columns
+        assert sorted(10**9 if r.doc_id is None else r.doc_id for r in kept.collect()) == expected
+    assert len(expected) < simhash.deduplicate(both).count()
+    assert overlap.deduplicate(empty(spark)).count() == 0
+
+
 # Chat
 
 
