@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed patterns of what is looked for; each find is validated before it is changed.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
-PHONE = r"(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]\d{4}"
+#: Brackets or a country code mark a phone number whatever its digits; without them area and exchange begin with 2 to 9.
+MARKED = r"(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]\d{4}|1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}"
+PHONE = rf"(?:{MARKED}|(?:\+?1[ .-]?)?\(?[2-9]\d{{2}}\)?[ .-]?[2-9]\d{{2}}[ .-]\d{{4}})"
 CARD = r"\d(?:[ -]?\d){12,18}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}"
@@ -152,11 +154,14 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Area and exchange stay among those that begin with 2 to 9, or among the others, in every format alike."""
     digits = _numbers(_digits(m))
     country = F.size(digits) - 10
-    national = F.transform(F.slice(digits, country + 1, F.lit(10)), lambda d, i: F.when(i.isin(0, 3), d - 2).otherwise(d))
-    limits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i.isin(0, 3), 8).otherwise(10))
-    new = F.transform(_feistel(national, limits, key, "phone"), lambda d, i: F.when(i.isin(0, 3), d + 2).otherwise(d))
+    national = F.slice(digits, country + 1, F.lit(10))
+    least = F.transform(national, lambda d, i: F.when(i.isin(0, 3) & (d >= 2), 2).otherwise(0))
+    limits = F.transform(national, lambda d, i: F.when(~i.isin(0, 3), 10).when(d >= 2, 8).otherwise(2))
+    values = F.zip_with(national, least, lambda d, l: d - l)
+    new = F.zip_with(_feistel(values, limits, key, "phone"), least, lambda d, l: d + l)
     return _refill(m, F.concat(F.slice(digits, F.lit(1), country), new))
 
 

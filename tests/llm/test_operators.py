@@ -398,6 +398,21 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert not other & {r.text for r in out}
 
 
+def test_marked_phone_numbers_may_have_any_digits(spark):
+    forms = ["+1 ({}) {}-{}", "({}) {}-{}", "+1-{}-{}-{}", "1-{}-{}-{}"]
+    rows = [(i, f.format(f"{a:03d}", f"{a * 7 % 1000:03d}", f"{a * 13 % 10000:04d}")) for a in range(0, 1000, 3) for i, f in enumerate(forms)]
+    df = spark.createDataFrame([(i, v, f"call {v}, now") for i, v in rows], "form int, value string, text string")
+    out = pii.pseudonymise(df, "k", found_col="n").collect()
+    assert {r.n for r in out} == {1}
+    assert all(re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", f"call {r.value}, now") for r in out)
+    assert len({r.text for r in out}) == len(rows)
+    numbers = {}
+    for r in out:
+        numbers.setdefault(re.sub(r"\D", "", r.value)[-10:], set()).add(re.sub(r"\D", "", r.text)[-10:])
+    assert all(len(x) == 1 for x in numbers.values())
+    assert sum(a in b for a, b in numbers.items()) < 3
+
+
 def test_dates_and_short_formats_are_permutations(spark):
     days = spark.range(0, 3000).select(F.date_format(F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")), "dd.MM.yyyy").alias("text"))
     out = pii.pseudonymise(days, "k").collect()
