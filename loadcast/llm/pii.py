@@ -14,7 +14,15 @@ PHONE = rf"(?:{MARKED}|(?:\+?1[ .-]?)?\(?[2-9]\d{{2}}\)?[ .-]?[2-9]\d{{2}}[ .-]\
 CARD = r"\d(?:[ -]?\d){12,18}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}"
-FINDS = rf"(?<![\w.+-])(?:{EMAIL}|{DATE}|{IPV4}|{SSN}|{CARD}|{PHONE})(?![\w-]|\.\w)"
+#: Where a find ends.
+END = r"(?![\w-]|\.\w)"
+AMEX = r"\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5}"
+#: Groups of four, and three more digits at the end, that are not the beginning of another format.
+FOURS = "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{3}}(?:{s}(?!(?:{AMEX}|{PHONE}){END})\d{{4}})*(?:{s}(?!{PHONE}{END})\d{{3}})?" for s in " -")
+FIXED = rf"{DATE}|{SSN}|{FOURS}|{AMEX}|\d{{13,19}}|{PHONE}"
+#: Other groups of a card number; none of them begins a value of a fixed format.
+LOOSE = rf"\d(?:(?:[ -](?!(?:{FIXED}){END}))?\d){{12,18}}"
+FINDS = rf"(?<![\w.+-])(?:{EMAIL}|{DATE}|{IPV4}|{SSN}|(?:{FOURS}|{AMEX}|\d{{13,19}}){END}|{PHONE}|{LOOSE}){END}"
 #: Texts without this have nothing to find.
 HINT = r"\d{2}|\d\.\d|@"
 
@@ -34,6 +42,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     a keyed hash of the other half. So it is a permutation of the values of a format, the same in all documents:
     equal values stay equal and different ones different. Whatever fails its validation is left as it is.
 
+    A number in a fixed format (card as one run of digits, in fours or in 4-6-5, phone, SSN, date) is told from other
+    numbers beside it; in a longer row of fours each card is the first four groups whose Luhn sum is right. Slash
+    dates are day first, or month first where that alone makes a date; the latter are permuted among themselves.
+
     Null text stays null, empty text empty. Rows are independent of each other; nothing is shuffled. Extra columns
     stay; ``found_col``, if named, gets the number of values replaced and replaces a column of that name.
     """
@@ -42,15 +54,41 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     finds = F.regexp_extract_all(text, F.lit(f"({FINDS})"), F.lit(1))
     new = F.transform(finds, lambda m: _pseudonym(m, key))
     rest = F.split(text, FINDS, -1)
-    joined = F.array_join(
-        F.zip_with(rest, new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""
+    plain = lambda t: F.struct(t.alias("t"), F.lit(False).alias("find"))
+    pieces = F.flatten(
+        F.zip_with(rest, finds, lambda a, m: F.concat(F.array(plain(F.coalesce(a, F.lit("")))), F.when(m.isNull(), F.array(plain(F.lit("")))).otherwise(_inside(m))))
     )
-    out = docs.withColumn("_finds", F.when(has, finds))
-    any_found = F.coalesce(F.size("_finds") > 0, F.lit(False))
+    out = docs.withColumn("_pieces", F.when(has, pieces))
+    any_found = F.coalesce(F.exists("_pieces", lambda x: x["find"]), F.lit(False))
+    joined = F.array_join(F.transform("_pieces", lambda x: F.when(x["find"], _pseudonym(x["t"], key)).otherwise(x["t"])), "")
     columns = {text_col: F.when(any_found, joined).otherwise(text)}
     if found_col:
-        columns[found_col] = F.when(any_found, F.size(F.filter("_finds", lambda m: _kind(m).isNotNull()))).otherwise(0).cast("long")
-    return out.withColumns(columns).drop("_finds")
+        valid = F.filter("_pieces", lambda x: x["find"] & _kind(x["t"]).isNotNull())
+        columns[found_col] = F.when(any_found, F.size(valid)).otherwise(0).cast("long")
+    return out.withColumns(columns).drop("_pieces")
+
+
+def _inside(m: Column) -> Column:
+    """A find as pieces (t, find): a row of fours that is longer than a card is taken apart by Luhn sums."""
+    piece = lambda t, find: F.struct(t.alias("t"), F.lit(find).alias("find"))
+    right = lambda g, at: _luhn(_numbers(F.array_join(F.slice(g, F.floor(at / 5).cast("int") + 1, 4), ""))) % 10 == 0
+    fours = F.floor((F.length(m) + 1) / 5).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), fours - 4), lambda i: 5 * i + 1)
+    cards = F.transform(F.array(F.split(m, "[ -]")), lambda g: F.filter(starts, lambda at: right(g, at)))[0]
+    state = F.struct(F.lit(1).alias("at"), F.array(piece(F.lit(""), False)).alias("out"))
+
+    def put(s: Column, at: Column) -> Column:
+        made = F.concat(s["out"], F.array(piece(F.substr(m, s["at"], at - s["at"]), False), piece(F.substr(m, at, F.lit(19)), True)))
+        late = at < s["at"]
+        return F.struct(F.when(late, s["at"]).otherwise(at + 19).alias("at"), F.when(late, s["out"]).otherwise(made).alias("out"))
+
+    def end(s: Column) -> Column:
+        return F.concat(s["out"], F.array(piece(F.substr(m, s["at"], F.length(m)), False)))
+
+    last = 5 * (fours - 4) + 1
+    whole = F.array(piece(F.substr(m, F.lit(1), last - 1), False), piece(F.substr(m, last, F.lit(23)), True))
+    apart = F.when(F.size(cards) > 0, F.aggregate(cards, state, put, end)).otherwise(whole)
+    return F.when((F.length(m) > 19) & m.rlike(f"^(?:{FOURS})$"), apart).otherwise(F.array(piece(m, True)))
 
 
 def _digits(value: Column) -> Column:
@@ -77,13 +115,19 @@ def _day(m: Column) -> Column:
     return F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(EPOCH).cast("date"))
 
 
+def _month_first(m: Column) -> Column:
+    """The day of a slash date with the month first and a day over 12; else null."""
+    iso = F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2))
+    return F.when(m.rlike(r"^\d\d/(1[3-9]|[23]\d)/"), F.try_to_date(iso, "yyyy-MM-dd"))
+
+
 def _kind(m: Column) -> Column:
     """What a find is, if it is valid: mail, date, ipv4, ssn, card or phone."""
     octets_right = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     ssn_right = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
     return (
         F.when(m.contains("@"), F.lit("mail"))
-        .when(m.rlike(f"^(?:{DATE})$"), F.when(_day(m).isNotNull(), F.lit("date")))
+        .when(m.rlike(f"^(?:{DATE})$"), F.when(_day(m).isNotNull() | _month_first(m).isNotNull(), F.lit("date")))
         .when(m.rlike(f"^{IPV4}$"), F.when(octets_right, F.lit("ipv4")))
         .when(m.rlike(f"^{SSN}$"), F.when(ssn_right, F.lit("ssn")))
         .when(m.rlike(f"^{CARD}$") & (_luhn(_numbers(_digits(m))) % 10 == 0), F.lit("card"))
@@ -95,7 +139,7 @@ def _pseudonym(m: Column, key: str) -> Column:
     kind = _kind(m)
     return (
         F.when(kind == "mail", _mail(m, key))
-        .when(kind == "date", _date(m, key))
+        .when(kind == "date", F.when(_day(m).isNotNull(), _date(m, key)).otherwise(_late_date(m, key)))
         .when(kind == "ipv4", F.array_join(_feistel(F.transform(F.split(m, r"\."), lambda o: o.cast("int")), F.array_repeat(F.lit(256), 4), key, "ipv4"), "."))
         .when(kind == "ssn", _ssn(m, key))
         .when(kind == "card", _card(m, key))
@@ -197,6 +241,26 @@ def _date(m: Column, key: str) -> Column:
     return made[0]
 
 
+def _late_date(m: Column, key: str) -> Column:
+    """Month-first dates by their rank among the days over 12 of 400 years, of which there are 9 x 9833."""
+    epoch = F.lit(EPOCH).cast("date")
+    day = _month_first(m)
+    month = (F.year(day) - F.year(epoch)) * 12 + F.month(day) - 1
+    era = (F.floor(month / 4800) * 4800).cast("int")
+    rank_of = lambda n: F.datediff(F.add_months(epoch, n), epoch) - 12 * n
+    rank = rank_of(month) - rank_of(era) + F.dayofmonth(day) - 13
+    new = _feistel(F.array((rank / 9833).cast("int"), rank % 9833), F.array(F.lit(9), F.lit(9833)), key, "late date")
+    made = F.transform(F.array(new), lambda x: x[0] * 9833 + x[1] + rank_of(era))
+
+    def text(r: Column) -> Column:
+        about = ((r - rank_of(era)) / 18.436875).cast("int") + era
+        months = F.filter(F.array(about - 1, about, about + 1), lambda n: (n >= era) & (rank_of(n) <= r))
+        days = F.transform(F.array(F.array_max(months)), lambda n: F.date_add(F.add_months(epoch, n), r - rank_of(n) + 12))
+        return F.transform(days, lambda d: F.concat(F.date_format(d, "MM/dd"), F.substring(m, 6, 1), F.date_format(d, "yyyy")))[0]
+
+    return F.transform(made, text)[0]
+
+
 def _mail(m: Column, key: str) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     chars = F.split(local, "")

@@ -420,6 +420,35 @@ def test_dates_and_short_formats_are_permutations(spark):
     assert all(re.fullmatch(r"\d\d\.\d\d\.\d{4}", r.text) for r in out)
 
 
+def test_month_first_dates_are_permuted_among_themselves(spark):
+    late = spark.range(0, 146097).select(F.date_add(F.lit("1900-01-01"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    rows = late.select(F.date_format("d", "MM/dd/yyyy").alias("text"))
+    out = pii.pseudonymise(rows, "k").where(F.col("text").rlike(r"^(0\d|1[0-2])/(1[3-9]|2\d|3[01])/\d{4}$"))
+    assert out.where(F.try_to_date("text", "MM/dd/yyyy").isNotNull()).distinct().count() == 88497
+    early = spark.createDataFrame([("12/31/2024",), ("31/12/2024",), ("13/13/2024",)], "text string")
+    assert [a.text == b for a, b in zip(pii.pseudonymise(early, "k").collect(), ("12/31/2024", "31/12/2024", "13/13/2024"))] == [False, False, True]
+
+
+def test_values_beside_other_numbers(spark):
+    card, amex = "4845168114407329", "378282246310005"
+    assert luhn(card) == luhn(amex) == 0
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    grouped = f"{amex[:4]} {amex[4:10]} {amex[10:]}"
+    values = ["212-555-1234", "+1 (017) 555-7713", card, spaced, spaced.replace(" ", "-"), grouped, "1987-02-14", "123-45-6789"]
+    beside = ["{}", "{} 100 times", "{} 12 items", "{} 100", "no 12 {}", "10 20 30 40 {}", "7 {} 8 9", "1234 {}", "{} 212-555-9876", "212 555 1234 {}", "1987-02-14 {} 5"]
+    rows = [(i, v, b, b.format(v)) for i, v in enumerate(values) for b in beside]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "i int, value string, beside string, text string"), "k").collect()
+    alone = {r.i: r.text for r in out if r.beside == "{}"}
+    plain = {b: b for b in beside}
+    for b in ("212 555 1234 {}", "{} 212-555-9876", "1987-02-14 {} 5"):
+        plain[b] = pii.pseudonymise(spark.createDataFrame([(b.replace("{}", "x"),)], "text string"), "k").first().text.replace("x", "{}")
+        assert plain[b] != b
+    wrong = [(r.value, r.beside, r.text) for r in out if r.text != plain[r.beside].format(alone[r.i])]
+    assert all(alone[i] != v for i, v in enumerate(values)) and not wrong, wrong
+    long = spark.createDataFrame([("1234 " * 9000,), ("12 " * 9000,), ("1234567890123 " * 900,)], "text string")
+    assert pii.pseudonymise(long, "k").count() == 3
+
+
 def test_what_is_not_valid_stays(spark):
     kept = ["4111 1111 1111 1112", "300.1.1.1", "000-12-3456", "666-12-3456", "1987-02-30", "version 2.0.1", "x@y", "call 12345", "", None, " ", "1234567890123"]
     df = spark.createDataFrame([(t, 7) for t in kept], "text string, n int")
