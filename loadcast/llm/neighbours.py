@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from loadcast.llm.common import cut, runs_of
 TREES = 12
 #: Vectors that the trees are fitted on at most (fewer for long vectors), and of those in a fitted leaf.
 SAMPLE, SAMPLE_FLOATS, LEAF = 20_000, 4_000_000, 64
-#: Vectors in a cell that further random splits aim at, and cells that a query visits.
+#: Vectors in a cell that further random splits aim at, and cells that a query visits at least.
 CELL, VISITS = 256, 320
+#: Queries whose true neighbours are found by comparing all, and the share of these that the visits must reach.
+PROBES, REACH = 200, 0.93
 
 
 @dataclass
@@ -51,14 +54,31 @@ class Forest:
         return out
 
     def search(self, x: np.ndarray, visits: int) -> list[tuple[int, int]]:
+        """The first (tree, cell) pairs for a query."""
+        return list(islice(self.walk(x), visits))
+
+    def reached(self, x: np.ndarray, near: np.ndarray, most: int) -> list[int]:
+        """After how many visits each vector, given by its cell in each tree, is met."""
+        waiting: dict[tuple[int, int], list[int]] = {}
+        for i, cells in enumerate(near.tolist()):
+            for t, cell in enumerate(cells):
+                waiting.setdefault((t, cell), []).append(i)
+        met: dict[int, int] = {}
+        for n, at in enumerate(self.walk(x), 1):
+            for i in waiting.get(at, ()):
+                met.setdefault(i, n)
+            if len(met) == len(near):
+                break
+        return [met.get(i, most) for i in range(len(near))]
+
+    def walk(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
         """(tree, cell) pairs for a query, from one queue for all trees ordered by squared distance over the planes crossed."""
         margins = [(n @ x - o).tolist() for n, o in zip(self.normals, self.offsets)]
         queue: list[tuple] = []
         for t, m in enumerate(margins):
             heappush(queue, (0.0, t, 0 if m else -1, 0, 0))
-        found = []
         sides: dict[tuple[int, int], list[float]] = {}
-        while queue and len(found) < visits:
+        while queue:
             cost, t, node, level, bits = heappop(queue)
             while node >= 0:
                 m = margins[t][node]
@@ -73,8 +93,7 @@ class Forest:
                     m = sides[key][i]
                     heappush(queue, (cost + m * m, t, node, i + 1, bits << 1 | int(m <= 0)))
                     bits = bits << 1 | int(m > 0)
-            found.append((t, ~node << self.extra | bits))
-        return found
+            yield t, ~node << self.extra | bits
 
 
 def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, cell: int = CELL, seed: int = 4) -> Forest:
@@ -136,6 +155,8 @@ def nearest(
     need; so neither a common vector nor a common query is a hot key. The trees are fitted on a hash sample of
     at most ``SAMPLE`` distinct vectors, and every vector is indexed in a cell of each tree. Vectors and queries
     that meet in a cell are compared there; scores are computed in double precision from the vectors as given.
+    For a hash sample of ``PROBES`` queries all vectors are compared, and every query visits at least as many cells as
+    reach ``REACH`` of their true neighbours, so visits grow with the table as recall needs.
     Should any query have found fewer than k, all are searched again with more visits, up to all cells.
 
     Rows without an id, null vectors, those with a null, infinite or NaN component, zero vectors and vectors of
@@ -167,6 +188,7 @@ def nearest(
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
     searched = distinct.join(asked.select("key").distinct(), "key", "left_semi")
     every = sum(len(c) for c in forest.centres) << forest.extra
+    visits = max(visits, _needed(distinct, searched, forest, shared, dim, k, every)) if every > visits else visits
     while True:
         answers = _answers(distinct, searched, asked, shared, dim, k, visits, kind == "float")
         if visits >= every or n <= 1:
@@ -177,6 +199,45 @@ def nearest(
         visits *= 8
 
 
+def _needed(distinct: DataFrame, searched: DataFrame, forest: Forest, shared, dim: int, k: int, every: int) -> int:
+    """Cells that a query must visit so that ``REACH`` of the ``k`` nearest distinct vectors of sampled queries lie in them."""
+    probes = searched.orderBy(F.xxhash64(F.lit(5), "key"), "key").limit(PROBES).select("key", "v").toArrow()
+    if not probes.num_rows:
+        return 1
+    keys, asked = probes.column("key").to_numpy(), _unit(_matrix(probes.column("v").combine_chunks(), dim))
+    sent = distinct.sparkSession.sparkContext.broadcast((keys, asked))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = sent.value
+        for b in batches:
+            key = b.column("key").to_numpy()
+            for at in range(0, len(key), 4096):
+                part = key[at : at + 4096]
+                x = _unit(_matrix(b.column("v").slice(at, len(part)), dim))
+                cosine = np.where(own[:, None] == part[None, :], -np.inf, q @ x.T)
+                keep = min(k, len(part))
+                best = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
+                who, c = np.repeat(np.arange(len(q)), keep), best.reshape(-1)
+                right = np.isfinite(cosine[who, c])
+                who, c = who[right], c[right]
+                cells = shared.value.cells(x[np.unique(c)])[np.searchsorted(np.unique(c), c)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(who), pa.array(cosine[who, c]), pa.array(part[c]), pa.array(cells.tolist(), pa.list_(pa.int64()))], ["probe", "cosine", "key", "cells"]
+                )
+
+    found = distinct.select("key", "v").mapInArrow(scan, "probe long, cosine double, key long, cells array<long>")
+    order = Window.partitionBy("probe").orderBy(F.desc("cosine"), "key")
+    nearest_of = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy("probe").agg(F.collect_list("cells").alias("cells"))
+
+    def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for probe, near in zip(b.column("probe").to_pylist(), b.column("cells").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.reached(sent.value[1][probe], np.array(near), every))], ["steps"])
+
+    needed = np.sort(nearest_of.repartition("probe").mapInArrow(steps, "steps long").toArrow().column("steps").to_numpy())
+    return int(needed[min(len(needed) - 1, int(np.ceil(REACH * len(needed))) - 1)]) if len(needed) else 1
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     scaled = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) if len(x) else x
     return scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-300)

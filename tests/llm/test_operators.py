@@ -272,6 +272,17 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_visits_grow_until_recall_is_reached(spark):
+    base = np.random.default_rng(6).normal(size=(6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>").repartition(4)
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 60 == 0, k=5, visits=4).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    u = neighbours._unit(base.astype(float))
+    hits = sum(len(found[q] & set(np.argsort(-np.where(np.arange(6000) == q, -2, u @ u[q]))[:5].tolist())) for q in range(0, 6000, 60))
+    assert hits >= 0.9 * 500
+
+
 def test_cells_of_rows_are_those_searched_first():
     x = neighbours._unit(np.random.default_rng(0).normal(size=(3000, 6)))
     forest = neighbours.fit(x[:500], 30_000, trees=3, leaf=16, cell=8)
