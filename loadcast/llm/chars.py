@@ -17,14 +17,14 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, end, code points, starts): lower-cased texts one behind the other, a zero after each.
+def chunks(texts: Sequence[str | None], lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, code points, starts): texts, lower-cased if asked for, one behind the other, a zero after each.
 
     ``starts`` has one more entry than texts. Null texts count as empty.
     """
     first, size, held = 0, 0, []
     for i, text in enumerate(texts):
-        low = (text or "").lower()
+        low = (text or "").lower() if lower else text or ""
         held.append(low)
         size += len(low) + 1
         if size >= CHUNK_CHARS or i + 1 == len(texts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a side may have at most to be broadcast; callers count first and join by shuffle beyond it.
 BROADCAST_ROWS = 200_000
+#: The same in bytes, where values may be long.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,71 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows read back from a Parquet table in the shared folder, and its path; ``remove`` it after use."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def light(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its counted bytes are few; otherwise Spark joins by shuffle. Columns must cast to text."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= bound else df
+
+
+def complete(vector: Column) -> Column:
+    """Whether a vector is there and holds neither a null nor a non-finite component."""
+    inf = F.lit(float("inf"))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < inf))
+    return F.coalesce(fine, F.lit(False))
+
+
+def floors(vector: Column, scale: int, bound: int) -> Column:
+    """Components as the integers floor(scale * x), held between -bound and bound."""
+    limit = float(bound)
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(limit)), F.lit(-limit))).cast("int"))
+
+
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of integers as rows of 64-bit integers; shorter lists end in zeros."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width), dtype=np.int64)
+    out[np.arange(width) < size[:, None]] = flat
+    return out
+
+
+def lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of a matrix as lists."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1), kind))
+
+
+def squared_distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Exact squared distances of integer rows from integer points; doubles hold them where they are small enough."""
+    most = int(max(np.abs(x).max(initial=0), np.abs(points).max(initial=0)))
+    if 4 * x.shape[1] * most * most < 1 << 53:
+        a, b = x.astype(np.float64), points.astype(np.float64)
+        return ((b * b).sum(axis=1) - 2 * (a @ b.T) + (a * a).sum(axis=1)[:, None]).astype(np.int64)
+    return np.stack([((x - p) ** 2).sum(axis=1) for p in points], axis=1)
+
+
+def nearest_points(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, index) of the nearest point to each row; ties to the lower index."""
+    d = squared_distances(x, points)
+    at = d.argmin(axis=1)
+    return d[np.arange(len(x)), at], at
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if its counted rows are few; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if rows <= bound else df

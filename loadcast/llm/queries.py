@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import chat, imatch, langid, mixing, neighbours, packing, pii, simhash, toxicity, warc
+from loadcast.llm import centroids, chat, codebooks, imatch, langid, mixing, neighbours, packing, pii, quality, simhash, toxicity, warc
 from loadcast.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,6 +93,26 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(docs, imatch.lexicon(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_active_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.quantise(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")
+    found = codebooks.with_label_errors(coded)
+    return found.select(F.col("id").alias("vec_id"), codebooks.code_text("code").alias("code"), "error", "label_error", digest)
+
+
+def op12_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered, centres = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(clustered, centres).withColumnRenamed("id", "vec_id")
+
+
+def op13_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs, labels.where(~langid.held_out()))
+    found = quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture,
     op2_simhash_near_dedup,
@@ -104,6 +124,9 @@ QUERIES = {f.__name__: f for f in (
     op8_best_fit_packing,
     op9_curriculum_mixing,
     op10_imatch_fingerprints,
+    op11_active_codebooks,
+    op12_drift_clusters,
+    op13_neighbour_quality,
 )}
 REVISITS = r"""
 WITH parts AS (
@@ -136,4 +159,78 @@ SELECT record_id, url_key, time, state, 2 * page_id AS response_id, etag, 'max-a
 FROM judged
 """
 
-SQL: dict[str, str] = {"op6_revisit_resolution": REVISITS}
+
+
+def _complete(vector: str) -> str:
+    return f"{vector} IS NOT NULL AND len(list_filter({vector}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _floor_mean(total: str, n: str) -> str:
+    """Floor division of integers, also of negative ones."""
+    return f"(({total}) - (({total}) % ({n}) + ({n})) % ({n})) // ({n})"
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Lloyd's rounds with every entry compared, one common table expression after the other."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, len(embedding) // {parts} AS w,
+          list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_complete("embedding")})""",
+        f"""part AS MATERIALIZED (SELECT r, p, list_slice(v, CAST(p * w + 1 AS BIGINT), CAST((p + 1) * w AS BIGINT)) AS x FROM kept, range({parts}) AS t(p))""",
+        f"book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM part WHERE r <= {entries})",
+    ]
+    distance = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for n in range(rounds + 1):
+        steps.append(
+            f"""near{n} AS MATERIALIZED (SELECT r, p, min(b).d AS d, min(b).e AS e FROM (
+              SELECT a.r, a.p, {{'d': CAST({distance} AS BIGINT), 'e': b.e}} AS b FROM part a JOIN book{n} b ON a.p = b.p) GROUP BY r, p)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""book{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN (
+                  SELECT p, e, list({_floor_mean("s", "n")} ORDER BY i) AS x FROM (
+                    SELECT a.p, c.e, i, sum(a.x[i])::BIGINT AS s, count(*) AS n FROM part a JOIN near{n} c ON a.r = c.r AND a.p = c.p, range(1, len(a.x) + 1) AS u(i) GROUP BY ALL)
+                  GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+            )
+    steps.append(
+        f"""coded AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)"""
+    )
+    steps.append(
+        f"""digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM book{rounds})"""
+    )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, width: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Lloyd's rounds with every distance, one common table expression after the other."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), vec_id) AS r,
+          list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = {width} AND {_complete("embedding")})""",
+        f"centre0 AS MATERIALIZED (SELECT r - 1 AS c, v FROM kept WHERE r <= {k})",
+    ]
+    distance = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for n in range(rounds + 1):
+        steps.append(
+            f"""near{n} AS MATERIALIZED (SELECT r, min(b).d AS d, min(b).c AS c FROM (
+              SELECT a.r, {{'d': CAST({distance} AS BIGINT), 'c': b.c}} AS b FROM kept a, centre{n} b) GROUP BY r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""centre{n + 1} AS MATERIALIZED (SELECT b.c, coalesce(m.v, b.v) AS v FROM centre{n} b LEFT JOIN (
+                  SELECT c, list({_floor_mean("s", "n")} ORDER BY i) AS v FROM (
+                    SELECT g.c, i, sum(a.v[i])::BIGINT AS s, count(*) AS n FROM kept a JOIN near{n} g ON a.r = g.r, range(1, {width + 1}) AS u(i) GROUP BY ALL)
+                  GROUP BY c) m ON b.c = m.c)"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+FROM kept JOIN near{rounds} USING (r) JOIN centre{rounds} z USING (c)"""
+
+
+SQL: dict[str, str] = {
+    "op6_revisit_resolution": REVISITS,
+    "op11_active_codebooks": _codes_sql(),
+    "op12_drift_clusters": _clusters_sql(),
+}

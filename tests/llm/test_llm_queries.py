@@ -29,7 +29,7 @@ def test_query(spark, tiny, name):
 
 def test_every_query_is_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline(spark, tiny):
