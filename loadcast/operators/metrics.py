@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import null_safe, quoted, series_key
+from loadcast.functions.columns import null_safe, quoted
 
 
 def attach_forecast(
@@ -50,43 +49,20 @@ def forecast_wide(
     )
 
 
-def _partials() -> list[Column]:
+def _metrics() -> dict[str, Column]:
+    """The metrics of a group as aggregates. Variances are those of Spark, which merges centred moments of tasks."""
     t, p = number(F.col("y_true")), number(F.col("y_pred"))
     both = t.isNotNull() & p.isNotNull()
     t, p = F.when(both, t), F.when(both, p)
-    return [
-        F.count(t).alias("_n"),
-        F.avg(F.abs(p - t)).alias("_ad"),
-        F.avg((p - t) * (p - t)).alias("_sd"),
-        F.avg(t).alias("_t"),
-        F.avg(p).alias("_p"),
-        F.var_pop(t).alias("_vt"),
-        F.var_pop(p).alias("_vp"),
-        F.covar_pop(t, p).alias("_c"),
-        F.min(t).alias("_tl"),
-        F.max(t).alias("_th"),
-        F.min(p).alias("_pl"),
-        F.max(p).alias("_ph"),
-    ]
-
-
-def _mean(x: Column) -> Column:
-    return F.sum(F.col("_n") * x) / F.nullif(F.sum("_n"), F.lit(0))
-
-
-def _moments() -> dict[str, Column]:
-    """Metrics from partial means and variances and their distance from the group's means ``_mt`` and ``_mp``."""
-    dt, dp = F.col("_t") - F.col("_mt"), F.col("_p") - F.col("_mp")
-    vt, vp, ct = _mean(F.col("_vt") + dt * dt), _mean(F.col("_vp") + dp * dp), _mean(F.col("_c") + dt * dp)
-    vt = F.when(F.min("_tl") < F.max("_th"), vt)
-    vp = F.when(F.min("_pl") < F.max("_ph"), vp)
-    mse = _mean(F.col("_sd"))
+    vt = F.when(F.min(t) < F.max(t), F.var_pop(t))
+    vp = F.when(F.min(p) < F.max(p), F.var_pop(p))
+    mse = F.avg((p - t) * (p - t))
     return {
-        "n": F.sum("_n"),
-        "mae": _mean(F.col("_ad")),
+        "n": F.count(t),
+        "mae": F.avg(F.abs(p - t)),
         "mse": mse,
         "rmse": F.sqrt(mse),
-        "correlacao_pearson": ct / (F.sqrt(vt) * F.sqrt(vp)),
+        "correlacao_pearson": F.covar_pop(t, p) / (F.sqrt(vt) * F.sqrt(vp)),
         "r2": 1 - mse / vt,
     }
 
@@ -94,26 +70,18 @@ def _moments() -> dict[str, Column]:
 def metrics_by(
     long: DataFrame, sets: Sequence[Sequence[str]], fixed: Sequence[str] = ()
 ) -> DataFrame:
-    """The five metrics for several grouping sets from one pass over the forecast rows.
+    """The five metrics for several grouping sets from one pass over the forecast rows and one shuffle.
 
-    Rows are first reduced to one row of means and variances per finest group, map-side where
-    possible; each grouping set then merges those few rows around its own mean, so no digits are lost to
-    the size of the values. Columns that a set does not use are NULL. Steps with a NULL or NaN do not
-    count; constant truth or prediction gives NULL for correlation and R².
+    Tasks reduce their rows to one row of centred moments per group of each set, which are merged after the
+    shuffle, so no digits are lost to the size of the values. Columns that a set does not use are NULL. Steps with a
+    NULL or NaN do not count; constant truth or prediction gives NULL for correlation and R².
     """
     finest = list(dict.fromkeys([*fixed, *[c for s in sets for c in s]]))
-    partial = long.groupBy(*finest).agg(*_partials())
-    merged = []
-    for wanted in sets:
-        names = [c for c in finest if c in {*fixed, *wanted}]
-        key = series_key(names)
-        means = partial.groupBy(key.alias("_k")).agg(_mean(F.col("_t")).alias("_mt"), _mean(F.col("_p")).alias("_mp"))
-        around = partial.withColumn("_k", key).join(means, "_k")
-        out = around.groupBy(*names).agg(*[v.alias(k) for k, v in _moments().items()])
-        types = {f.name: f.dataType for f in partial.schema.fields}
-        shown = [F.col(c) if c in names else F.lit(None).cast(types[c]).alias(c) for c in finest]
-        merged.append(out.select(*shown, *_moments()))
-    return reduce(DataFrame.unionAll, merged)
+    wanted = [[c for c in finest if c in {*fixed, *s}] for s in sets]
+    metrics = [v.alias(k) for k, v in _metrics().items()]
+    if len(wanted) == 1:
+        return long.groupBy(*finest).agg(*metrics)
+    return long.groupingSets([[F.col(c) for c in s] for s in wanted], *[F.col(c) for c in finest]).agg(*metrics)
 
 
 def metrics_global(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
