@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.columns import as_double, null_safe
 from loadcast.operators.bounds import broadcast_if_bounded
-from loadcast.operators.positions import DAY_SECONDS
 from loadcast.operators.windows import chunked
 
 # Fixed value: 97.5 % point of the normal distribution, for a 95 % band.
@@ -23,7 +22,7 @@ def acf(
     group: str = "country",
     time_col: str = "datetime",
     order: Sequence[str] = (),
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
 ) -> DataFrame:
     """Autocorrelation for lags 0..``lags`` with the half width of its 95 % Bartlett band.
 

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.functions.columns import null_safe, require_columns, series_key
-from loadcast.operators.positions import DAY_SECONDS, time_bucket
+from loadcast.functions.columns import null_safe, require_columns
+from loadcast.operators.positions import BUCKET_ROWS, SMALL_BYTES, dealt, in_buckets, per_bucket
 
 
 def drop_bad_time(df: DataFrame, time_col: str = "datetime") -> DataFrame:
@@ -91,27 +91,25 @@ def ffill(
     time_col: str = "datetime",
     groups: Sequence[str] = ("country",),
     order: Sequence[str] = (),
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
+    rows: int = BUCKET_ROWS,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """NULLs take the last earlier value of the series.
 
-    Each time bucket is filled on its own; the last value of the earlier buckets is carried
-    in from a table with one row per bucket.
+    Rows are dealt once by (series, bucket); each bucket is filled on its own and hands its last value on to later
+    ones, by a table with one row per bucket. Buckets are those of ``time_idx``.
     """
     keys = ["_group", "_bucket"]
-    keyed = df.withColumns(
-        {"_group": series_key(groups), "_bucket": time_bucket(F.col(time_col), seconds)}
-    )
+    placed = dealt(in_buckets(df, groups, time_col, order, seconds, rows, small_bytes), groups)
     # A single order column keeps the aggregation on a hash table.
     position = F.struct(time_col, *order) if order else F.col(time_col)
     last = F.max_by(value, F.when(F.col(value).isNotNull(), position))
     earlier = (
         Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry = (
-        keyed.groupBy(*keys)
-        .agg(last.alias("_last"))
-        .select(*keys, F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    carry = per_bucket(placed, {"_last": last}).select(
+        *keys, F.last("_last", ignorenulls=True).over(earlier).alias("_carry")
     )
     inside = (
         Window.partitionBy(*keys)
@@ -119,4 +117,4 @@ def ffill(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry")
-    return keyed.join(carry, keys).withColumn(value, filled).drop(*keys, "_carry")
+    return placed.join(carry, keys).withColumn(value, filled).drop(*keys, "_carry")

@@ -11,6 +11,10 @@ from loadcast.functions.columns import series_key
 
 DAY_SECONDS = 86_400
 TARGET_BUCKET_ROWS = 250_000
+# Rows that a bucket between cut points may hold, sampled keys per bucket, and buckets at most.
+BUCKET_ROWS, DRAWS, MOST_BUCKETS = 1_000_000, 64, 16_384
+# Frames up to this size, as the optimizer estimates it, are not sampled.
+SMALL_BYTES = 64 << 20
 # Widths in microseconds that a rank is narrowed down by, and the rows one task may rank.
 WIDTHS = (DAY_SECONDS * 1_000_000, 60 * 1_000_000, 1)
 RANK_ROWS = 1_000_000
@@ -26,48 +30,113 @@ def _micros_bucket(micros: Column, width: int) -> Column:
     return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
 
 
-def bucket_seconds(df: DataFrame, time_col: str = "datetime") -> int:
-    """A bucket width that puts about ``TARGET_BUCKET_ROWS`` rows into an average bucket.
+def with_buckets(
+    df: DataFrame,
+    groups: Sequence[str] = (),
+    time_col: str | None = "datetime",
+    order: Sequence[str] = (),
+    out: str = "_bucket",
+    rows: int = BUCKET_ROWS,
+    small_bytes: int = SMALL_BYTES,
+) -> DataFrame:
+    """Adds a bucket number that rises along (series, time, ``order``), with about half of ``rows`` rows in a bucket.
+
+    Cut points are taken from a sample of keys: where a series, a day or a single timestamp holds many rows, more
+    cut points fall inside it, in the end between values of ``order``, so a hot series or day is spread over as many
+    buckets as its rows need. Only rows equal in series, time and ``order`` stay together. Two jobs, which read the key
+    columns only, count the rows and draw the sample; the driver gets the cut points as one text. A row's bucket is
+    found by halving, in compiled code.
 
-    One aggregation over the time column. Use it for raw readings; an hourly panel is served
-    well by the default of one day.
+    Frames that the optimizer holds for smaller than ``small_bytes`` start no job and get a bucket per day (or one in all).
     """
-    time = F.unix_micros(F.col(time_col))
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(time), F.max(time)).first()
-    if not n or lo is None:
-        return DAY_SECONDS
-    buckets = max(n // TARGET_BUCKET_ROWS, 1)
-    return max((hi - lo) // 1_000_000 // buckets, 1)
+    plain = df.withColumn(out, time_bucket(F.col(time_col)) if time_col else F.lit(0))
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= small_bytes:
+        return plain
+    key = F.struct(*_comparable(df, [*groups, *([time_col] if time_col else []), *order]))
+    keys = df.select(key.alias("_key"))
+    total = keys.count()
+    buckets = min(-(-2 * total // rows), MOST_BUCKETS)
+    if buckets < 2:
+        return plain
+    drawn = keys.sample(min(1.0, DRAWS * buckets / total), seed=1)
+    ranked = drawn.select("_key", F.row_number().over(Window.orderBy("_key")).alias("_n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_all"))
+    wanted = F.floor(F.col("_n") * buckets / F.col("_all")) > F.floor((F.col("_n") - 1) * buckets / F.col("_all"))
+    cuts = ranked.where(wanted & (F.col("_n") < F.col("_all"))).agg(F.sort_array(F.collect_set("_key")).alias("cuts"))
+    text, n = cuts.select(F.to_json("cuts"), F.size("cuts")).first()
+    bounds = F.from_json(F.lit(text), f"array<{keys.schema['_key'].dataType.simpleString()}>")
+    return _cuts_below(df, bounds, key, n, out)
+
+
+def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Values that sort as the columns do, NULL last, and survive being written as text."""
+    out = []
+    for i, name in enumerate(names):
+        value, kind = F.col(name), df.schema[name].dataType.simpleString()
+        if kind.startswith("timestamp"):
+            value = F.unix_micros(value.cast("timestamp"))
+        elif kind == "date":
+            value = F.unix_date(value)
+        elif kind == "binary":
+            value = F.hex(value)
+        elif kind in ("float", "double"):
+            value = value.cast("double")
+        out += [F.col(name).isNull().alias(f"null{i}"), value.alias(f"value{i}")]
+    return out
+
+
+def _cuts_below(df: DataFrame, cuts: Column, key: Column, n: int, out: str) -> DataFrame:
+    """Adds how many of ``n`` sorted cut points lie at or below the key."""
+    found = df.withColumns({"_key": key, out: F.lit(0)})
+    for i in reversed(range(n.bit_length())):
+        step = 1 << i
+        beyond = F.get(cuts, F.col(out) + (step - 1)) <= F.col("_key")
+        found = found.withColumn(out, F.col(out) + F.when(beyond, step).otherwise(0))
+    return found.drop("_key")
+
+
+def dealt(df: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows with ``_group``, dealt to tasks by (series, ``_bucket``)."""
+    return df.withColumn("_group", series_key(groups)).repartition("_group", "_bucket")
+
+
+def per_bucket(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row per (series, bucket) of dealt rows, with aggregates.
+
+    ``_seen`` is made of every column, so that Spark reads the shuffled rows a second time here, instead of
+    reading the input once more for the few columns that the aggregates need.
+    """
+    whole = [f.name for f in rows.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))]
+    sums = rows.groupBy("_group", "_bucket").agg(*[v.alias(k) for k, v in values.items()], F.max(F.xxhash64(*whole)).alias("_seen"))
+    return sums.where(F.col("_seen").isNotNull()).drop("_seen")
 
 
 def with_positions(
     df: DataFrame,
-    bucket: Column,
+    bucket: Column | str,
     order: Sequence[Column],
     groups: Sequence[str] = (),
     out: str = "position",
 ) -> DataFrame:
     """0-based position of every row in its group.
 
-    ``bucket`` must rise with ``order``. Rows are counted per (group, bucket), the counts are
-    summed along the buckets, and only the rows of one bucket are ranked together; so a hot
-    group is spread over its buckets.
+    ``bucket`` must rise with ``order``. Rows are dealt once by (group, bucket). They are counted there, the counts are
+    summed along the buckets and handed on to later buckets, and only the rows of one bucket are ranked together;
+    so a hot group is spread over its buckets.
     """
     keys = ["_group", "_bucket"]
-    keyed = df.withColumns({"_group": series_key(groups), "_bucket": bucket})
+    rows = dealt(df.withColumn("_bucket", F.col(bucket) if isinstance(bucket, str) else bucket), groups)
     earlier = (
         Window.partitionBy("_group")
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = (
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    starts = per_bucket(rows, {"_rows": F.count(F.lit(1))}).select(
+        *keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        keyed.join(starts, keys)
+        rows.join(starts, keys)
         .withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
         .drop(*keys, "_start")
     )
@@ -78,12 +147,27 @@ def time_idx(
     groups: Sequence[str] = ("country",),
     time_col: str = "datetime",
     order: Sequence[str] = (),
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
     out: str = "time_idx",
+    rows: int = BUCKET_ROWS,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
-    """0-based position in time order within each series; ``order`` breaks equal times."""
+    """0-based position in time order within each series; ``order`` breaks equal times.
+
+    Rows are ranked in buckets of days, or, in large frames, between cut points found from a sample of keys
+    (``with_buckets``), so that no task ranks much more than ``rows`` rows. ``seconds`` asks for time buckets of that width instead.
+    """
     columns = [F.col(c).asc_nulls_last() for c in (time_col, *order)]
-    return with_positions(df, time_bucket(F.col(time_col), seconds), columns, groups, out)
+    return with_positions(in_buckets(df, groups, time_col, order, seconds, rows, small_bytes), "_bucket", columns, groups, out)
+
+
+def in_buckets(
+    df: DataFrame, groups: Sequence[str], time_col: str, order: Sequence[str], seconds: int | None, rows: int, small_bytes: int
+) -> DataFrame:
+    """Rows with ``_bucket``: of ``seconds``, or as ``with_buckets`` finds them."""
+    if seconds is not None:
+        return df.withColumn("_bucket", time_bucket(F.col(time_col), seconds))
+    return with_buckets(df, groups, time_col, order, "_bucket", rows, small_bytes)
 
 
 def row_boundaries(

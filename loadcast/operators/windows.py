@@ -28,7 +28,7 @@ from loadcast.functions.columns import (
 )
 from loadcast.operators.bounds import broadcast_if_bounded
 from loadcast.operators.clean import hourly_grid
-from loadcast.operators.positions import DAY_SECONDS, time_idx
+from loadcast.operators.positions import time_idx
 
 MIN_CHUNK_ROWS = 256
 # New columns up to which Spark compiles a projection together with what is below it.
@@ -53,7 +53,7 @@ def chunked(
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
     indexed: bool = False,
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
 ) -> DataFrame:
     """The columns ``carry`` and ``time_idx`` of every row and, per entry of ``arrays``, the
     values around it.
@@ -61,7 +61,8 @@ def chunked(
     Column ``_pos`` is the row's 0-based place in those arrays and ``…_full`` says that an
     array of doubles has no gaps. The arrays hold the ``before``
     rows ahead of it and the ``after`` rows behind it, as far as the series has them.
-    ``indexed`` says that ``time_idx`` is already there.
+    ``indexed`` says that ``time_idx`` is already there. Give no other columns than needed: then the input is read once
+    (see ``per_bucket``).
     """
     size = chunk_rows or chunk_size(before, after)
     rows = df if indexed else time_idx(df.drop("time_idx"), groups, time_col, order, seconds)
@@ -149,7 +150,7 @@ def lag_lead(
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
     complete: bool = False,
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
 ) -> DataFrame:
     """Columns ``x_lag1`` … and ``y_lead1`` … by row position; steps off the series are NULL.
 
@@ -240,7 +241,7 @@ def flat_matrix(
     time_col: str = "datetime",
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
 ) -> DataFrame:
     """One row per time with ``lags`` lag columns per series and ``leads`` lead columns per target.
 
@@ -290,7 +291,7 @@ def flat_windows(
     time_col: str = "datetime",
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
 ) -> DataFrame:
     """The flat matrix as ``X`` and ``Y`` arrays, for several histories from one pass.
 
@@ -307,7 +308,7 @@ def flat_windows(
     vector = F.expr(f"array({', '.join(double_sql(df, c) for c in features)})")
     kept = unique([*groups, time_col, *order])
     rows = chunked(
-        df.withColumn("_f", vector),
+        df.withColumn("_f", vector).select(*unique([*kept, *names, "_f"])),
         [*kept, "_f"],
         arrays,
         max(wanted),
@@ -346,7 +347,7 @@ def sequence_windows(
     keep: Sequence[str] = (),
     drop_nulls: bool = False,
     chunk_rows: int | None = None,
-    seconds: int = DAY_SECONDS,
+    seconds: int | None = None,
 ) -> DataFrame:
     """Sliding windows: ``X`` = ``seq_len`` steps of all features, time-major; ``Y`` = next steps.
 
@@ -357,8 +358,9 @@ def sequence_windows(
     step_y = F.array(*[as_double(df, c) for c in targets])
     kept = unique([*groups, time_col, *order, *keep])
     arrays = {"_xs": step_x, "_ys": step_y}
+    used = df.select(*unique([*kept, *features, *targets]))
     rows = chunked(
-        df, kept, arrays, seq_len - 1, lead, groups, time_col, order, chunk_rows, seconds=seconds
+        used, kept, arrays, seq_len - 1, lead, groups, time_col, order, chunk_rows, seconds=seconds
     ).where(has_past(seq_len) & has_future("_xs", lead))
     window = F.struct(
         F.flatten(past("_xs", seq_len)).alias("X"), F.flatten(future("_ys", lead)).alias("Y")

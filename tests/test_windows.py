@@ -5,7 +5,8 @@ from helpers import T0, as_set, hours, noise_series
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loadcast.operators.positions import bucket_seconds, time_idx
+from loadcast.operators.clean import ffill
+from loadcast.operators.positions import time_idx, with_buckets
 from loadcast.operators.windows import (
     chunked,
     drop_incomplete,
@@ -64,9 +65,41 @@ def test_positions_of_equal_times_null_times_and_old_dates(spark):
     assert got == {3: 0, 2: 1, 4: 2, 5: 3, 1: 4, 6: 0}
 
 
-def test_bucket_seconds(spark):
-    assert bucket_seconds(hours(spark, SERIES)) >= 3600
-    assert bucket_seconds(hours(spark, SERIES).limit(0)) == 86_400
+def test_a_hot_day_or_timestamp_is_spread(spark):
+    """Half of all rows are one series, all of whose rows share a timestamp; the rest share one day."""
+    n = 60_000
+    row = F.col("id")
+    mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    hot = row % 2 == 0
+    df = spark.range(n).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("s"), (row % 7).cast("string"))).alias("country"),
+        F.when(hot, F.lit(0)).otherwise(mixed % 86_400).cast("timestamp").alias("datetime"),
+        F.when(row % 5 > 0, mixed).alias("key"),
+        F.when(row % 3 > 0, F.lit(1.5)).alias(V),
+        row.alias("odd name"),
+    )
+    order = ["key", "odd name"]
+    placed = with_buckets(df, ["country"], "datetime", order, rows=2000, small_bytes=0)
+    sizes = [r["count"] for r in placed.groupBy("country", "_bucket").count().collect()]
+    assert max(sizes) <= 2000
+    assert len([r for r in placed.where("country = 'hot'").groupBy("_bucket").count().collect()]) > 25
+    w = Window.partitionBy("country").orderBy("datetime", F.col("key").asc_nulls_last(), "odd name")
+    expected = df.withColumn("time_idx", (F.row_number().over(w) - 1).cast("bigint"))
+    got = time_idx(df, order=order, rows=2000, small_bytes=0)
+    assert got.exceptAll(expected.select(got.columns)).count() == 0 and got.count() == n
+    filled = ffill(df.withColumn(V, F.when(F.col("odd name") % 3 > 0, F.col("odd name").cast("double"))), order=order, rows=2000, small_bytes=0)
+    known = F.when(F.col("odd name") % 3 > 0, F.col("odd name").cast("double"))
+    plain_fill = df.withColumn(V, F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert filled.exceptAll(plain_fill.select(filled.columns)).count() == 0
+
+
+def test_positions_and_fills_read_their_input_once(spark, tmp_path):
+    hours(spark, SERIES).write.parquet(str(tmp_path / "panel"))
+    df = spark.read.parquet(str(tmp_path / "panel"))
+    for out in (time_idx(df), ffill(df), time_idx(df, rows=40, small_bytes=0)):
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1
 
 
 def test_flat_matrix_drops_incomplete_rows_only(spark):
