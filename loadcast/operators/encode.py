@@ -9,19 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.functions.columns import UNKNOWN_LABEL, label_text
-from loadcast.operators.bounds import broadcast_if_bounded
-from loadcast.operators.positions import with_positions
+from loadcast.operators.bounds import MAX_BROADCAST_ROWS, broadcast_if_bounded, local_if_bounded
+from loadcast.operators.positions import BUCKET_ROWS, with_buckets, with_positions
+from loadcast.session import scratch_path
 
 
-def label_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def label_fit(df: DataFrame, columns: Sequence[str], rows: int = BUCKET_ROWS, local_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Dictionary ``(col, label, code)``: sorted labels 0..n-1, and ``__unknown__`` as n.
 
-    NULL has a label of its own. If ``__unknown__`` occurs as a value it keeps its sorted code.
+    NULL has a label of its own. If ``__unknown__`` occurs as a value it keeps its sorted code. The distinct labels are
+    fetched if they are at most ``local_rows``, else written to a scratch table once; there they are cut into ranges of
+    about ``rows`` labels at points taken from a sample, whatever they begin with, and ranked range by range.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), label_text(c).alias("label")) for c in columns])
     labels = df.select(F.inline(pairs)).distinct()
-    bucket = F.substring("label", 1, 2)
-    codes = with_positions(labels, bucket, [F.col("label")], ["col"], "code")
+    local = local_if_bounded(labels, local_rows)
+    if local is None:
+        path = scratch_path(df.sparkSession, "labels")
+        labels.write.parquet(path)
+        labels = with_buckets(df.sparkSession.read.parquet(path), ["col"], None, ["label"], "_bucket", rows, 0)
+    else:
+        labels = local.withColumn("_bucket", F.lit(0))
+    codes = with_positions(labels, "_bucket", [F.col("label")], ["col"], "code")
     unknown = (
         codes.groupBy("col")
         .agg(

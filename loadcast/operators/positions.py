@@ -38,6 +38,7 @@ def with_buckets(
     out: str = "_bucket",
     rows: int = BUCKET_ROWS,
     small_bytes: int = SMALL_BYTES,
+    nulls_last: bool = True,
 ) -> DataFrame:
     """Adds a bucket number that rises along (series, time, ``order``), with about half of ``rows`` rows in a bucket.
 
@@ -53,7 +54,7 @@ def with_buckets(
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(estimate)) <= small_bytes:
         return plain
-    key = F.struct(*_comparable(df, [*groups, *([time_col] if time_col else []), *order]))
+    key = F.struct(*_comparable(df, [*groups, *([time_col] if time_col else []), *order], nulls_last))
     keys = df.select(key.alias("_key"))
     total = keys.count()
     buckets = min(-(-2 * total // rows), MOST_BUCKETS)
@@ -68,8 +69,8 @@ def with_buckets(
     return _cuts_below(df, bounds, key, n, out)
 
 
-def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    """Values that sort as the columns do, NULL last, and survive being written as text."""
+def _comparable(df: DataFrame, names: Sequence[str], nulls_last: bool) -> list[Column]:
+    """Values that sort as the columns do and survive being written as text."""
     out = []
     for i, name in enumerate(names):
         value, kind = F.col(name), df.schema[name].dataType.simpleString()
@@ -81,7 +82,8 @@ def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
             value = F.hex(value)
         elif kind in ("float", "double"):
             value = value.cast("double")
-        out += [F.col(name).isNull().alias(f"null{i}"), value.alias(f"value{i}")]
+        absent = F.col(name).isNull() if nulls_last else F.col(name).isNotNull()
+        out += [absent.alias(f"null{i}"), value.alias(f"value{i}")]
     return out
 
 
@@ -182,8 +184,9 @@ def row_boundaries(
     ``ranks`` are expressions over the total row count ``_total``; ``order`` must make rows of
     equal time distinct. The time axis is narrowed by counting, from days to minutes to single
     timestamps, until the bucket that holds the rank has at most ``rank_rows`` rows; only those
-    are ranked. One row per rank reaches the driver; a rank of 0 gives None. Rows without a
-    time are not counted.
+    are ranked. Where a single timestamp holds more, its rows are cut into buckets along ``order`` and ranked there, so
+    no task ranks more than about ``rank_rows`` rows. One row per rank reaches the driver; a rank of 0 gives None.
+    Rows without a time are not counted.
     """
     rows = df.where(F.col(time_col).isNotNull()).withColumn("_us", F.unix_micros(time_col))
     counts = rows.groupBy(_micros_bucket(F.col("_us"), WIDTHS[0]).alias("_b")).agg(
@@ -211,7 +214,7 @@ def row_boundaries(
             break
         found = _narrow(rows, found, time_col, width, finer)
         width = finer
-    picked = _pick(rows, found, order, time_col, width)
+    picked = _pick(rows, found, order, time_col, width, rank_rows)
     return [picked.get(i) for i in range(len(ranks))]
 
 
@@ -243,15 +246,19 @@ def _narrow(rows: DataFrame, found: dict, time_col: str, width: int, finer: int)
     }
 
 
-def _pick(rows: DataFrame, found: dict, order: Sequence[str], time_col: str, width: int) -> dict:
+def _pick(rows: DataFrame, found: dict, order: Sequence[str], time_col: str, width: int, rank_rows: int) -> dict:
     """The time and order columns of each wanted row, ranked within its bucket."""
     if not found:
         return {}
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     near = rows.where(_in_buckets(time_col, {b for b, _, _ in found.values()}, width))
-    bucket = _micros_bucket(F.col("_us"), width)
-    within = Window.partitionBy("_b").orderBy("_us", *[F.col(c).asc_nulls_first() for c in order])
-    ranked = near.select(bucket.alias("_b"), "_us", *order).withColumn("_rank", F.row_number().over(within))
+    keyed = near.select(_micros_bucket(F.col("_us"), width).alias("_b"), "_us", *order)
+    along = [F.col("_us"), *[F.col(c).asc_nulls_first() for c in order]]
+    if max(n for _, _, n in found.values()) > rank_rows:
+        cut = with_buckets(keyed, ["_b"], None, ["_us", *order], "_bucket", rank_rows, 0, nulls_last=False)
+        ranked = with_positions(cut, "_bucket", along, ["_b"], "_rank").withColumn("_rank", F.col("_rank") + 1)
+    else:
+        ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_b").orderBy(*along)))
     tests = [(F.col("_b") == b) & (F.col("_rank") == rest) for b, rest, _ in found.values()]
     at = {(h["_b"], h["_rank"]): h for h in ranked.where(_any(tests)).collect()}
     out = {}

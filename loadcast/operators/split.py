@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.operators.positions import at_or_before, before, row_boundaries, with_positions
+from loadcast.operators.positions import at_or_before, before, row_boundaries, with_buckets, with_positions
 
 SPLITS = ("train", "val", "test")
 
@@ -129,6 +129,6 @@ def _head(df: DataFrame, rank: Column, time_col: str, order: Sequence[str]) -> D
     if sure + ties == wanted:
         return df.where(until)
     hashed = timed.where(tied).withColumn("_hash", F.xxhash64(*df.columns))
-    slot = F.shiftright("_hash", 48)
-    ranked = with_positions(hashed, slot, [F.col("_hash")], (), "_nth")
+    placed = with_buckets(hashed, (), None, ["_hash"])
+    ranked = with_positions(placed, "_bucket", [F.col("_hash")], (), "_nth")
     return df.where(below).unionByName(ranked.where(F.col("_nth") < wanted - sure).select(*df.columns))
