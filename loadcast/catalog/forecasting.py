@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from loadcast.catalog.storage import split_panel
 from loadcast.catalog.tables import (
     IDX,
@@ -26,14 +28,16 @@ from loadcast.operators.metrics import forecast_long
 from loadcast.operators.scale import fit_scaler, scale_transform
 from loadcast.operators.score import score_external
 from loadcast.operators.windows import sequence_windows
-from loadcast.plans.evaluate import evaluate
+from loadcast.plans.evaluate import evaluate, evaluate_quantiles
 from loadcast.plans.scenario import (
     BASE_FEATURES,
     fit_cuts,
     fit_training_state,
     flat_dataset,
     flat_xy,
+    run_panel_scenarios,
     run_scenarios,
+    run_sequence_scenarios,
     scenarios,
     training_scenario,
 )
@@ -109,6 +113,29 @@ def _(spark, sf):
     return evaluate(windows, lambda x: x.mean(axis=1, keepdims=True).repeat(6, axis=1), state=state).fillna(OVERALL)
 
 
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+def spread_forecast(given):
+    """Mean of the window, and about it a band that widens with the lead."""
+    x = given["X"]
+    band = (x.max(axis=1) - x.min(axis=1))[:, None, None] * (1 + np.arange(1, 7) / 10)[None, :, None]
+    return x.mean(axis=1)[:, None, None] + band * (np.array((0.1, 0.5, 0.9)) - 0.5)
+
+
+@REGISTRY.add("evaluate_quantiles", (
+    f"WITH {IDX}, {windows_sql(SEQ)}, steps AS (SELECT country, unnest(range(1, {LEAD + 1})) AS lead, unnest(ys) AS y_true, list_avg(xs) AS m, list_max(xs) - list_min(xs) AS band FROM wins), "
+    f"fc AS (SELECT country, lead, y_true, quantile, m + band * (1 + lead / 10.0::DOUBLE) * (quantile - 0.5) AS y_pred FROM steps, (SELECT unnest([{', '.join(f'{q}::DOUBLE' for q in QUANTILES)}]) AS quantile)) "
+    f"SELECT {LEVEL}, quantile, {METRICS}, {r('avg(greatest(quantile * (y_true - y_pred), (quantile - 1) * (y_true - y_pred)))', 'pinball')}, {r('avg((y_true <= y_pred)::INTEGER)', 'covered')} "
+    "FROM fc GROUP BY GROUPING SETS ((quantile), (quantile, lead), (quantile, country), (quantile, country, lead))"
+))
+def _(spark, sf):
+    panel = hourly(spark, sf)
+    state = fit_scaler(panel, [VALUE])
+    windows = sequence_windows(scale_transform(panel, state, [VALUE]), [VALUE], [VALUE], SEQ, LEAD)
+    return evaluate_quantiles(windows, spread_forecast, QUANTILES, state=state).fillna(OVERALL)
+
+
 HISTORIES = (8, 16, 24)
 SERIES = ("click", "error", "purchase", "signup", "view")
 
@@ -167,6 +194,69 @@ def _(spark, sf):
     return run_scenarios(base, cases, state, lambda x: (x[:, first:].sum(axis=1, keepdims=True) / 24).repeat(6, axis=1)).fillna(OVERALL)
 
 
+CODES = (
+    "codes AS (SELECT country, row_number() OVER (ORDER BY country) - 1 AS code FROM (SELECT DISTINCT country FROM parts WHERE split = 'train'))"
+)
+
+
+def input_scenario_sql(prediction: str) -> str:
+    """As ``scenario_sql``, with windows up to the current row and a forecast made of ``xs``, ``hours``, ``time_idx`` and ``code``."""
+    ctes = [
+        SPLIT,
+        SCALER,
+        CODES,
+        "spread AS (SELECT stddev_samp(quantity_MW) AS sd FROM hourly)",
+        "clean1 AS (SELECT datetime, country, quantity_MW, quantity_MW AS noisy FROM hourly WHERE country = 'error')",
+        "clean2 AS (SELECT datetime, country, quantity_MW, quantity_MW AS noisy FROM hourly)",
+        f"noisy3 AS (SELECT datetime, country, quantity_MW, quantity_MW + 0.01::DOUBLE * sd * {gauss_sql(ROW_KEY)} AS noisy FROM hourly, spread)",
+        split_of("clean1", "n1"),
+        split_of("clean2", "n2"),
+        split_of("noisy3", "n3"),
+    ]
+    parts = []
+    for level in ("n1", "n2", "n3"):
+        for letter, history in zip("ABC", HISTORIES):
+            past = frame_sql("xs", f"{history - 1} PRECEDING", "CURRENT ROW", value="noisy")
+            ahead = frame_sql("ys", "1 FOLLOWING", f"{LEAD} FOLLOWING")
+            clock = frame_sql("hours", "1 FOLLOWING", f"{LEAD} FOLLOWING", value="hour(datetime)")
+            parts.append(
+                f"SELECT '{level.upper()}{letter}' AS scenario, country, code, s, time_idx, list_avg(xs) AS m, unnest(range(1, {LEAD + 1})) AS lead, "
+                f"unnest(ys) AS y_true, unnest(hours) AS hour FROM (SELECT *, {past}, {ahead}, {clock} FROM {level}) JOIN codes USING (country), scaler "
+                f"WHERE len(xs) = {history} AND len(ys) = {LEAD}"
+            )
+    return (
+        f"WITH {', '.join(ctes)}, steps AS ({' UNION ALL '.join(parts)}), fc AS (SELECT scenario, country, lead, y_true, {prediction} AS y_pred FROM steps) "
+        f"SELECT scenario, {LEVEL}, {METRICS} FROM fc GROUP BY GROUPING SETS ((scenario), (scenario, lead), (scenario, country), (scenario, country, lead))"
+    )
+
+
+def sequence_forecast(given):
+    """Mean of the value, the second feature, over the steps shown, and a little for the code of the series."""
+    return (given["X"][:, :, 1].mean(axis=1) + 0.01 * given["country_id"])[:, None].repeat(6, axis=1)
+
+
+@REGISTRY.add("scenario_sequence", input_scenario_sql("m + 0.01 * code * s"))
+def _(spark, sf):
+    base = base_table(spark, sf)
+    state = fit_training_state(base, fit_cuts(base))
+    cases = scenarios(("error",), SERIES, HISTORIES, LEAD)
+    return run_sequence_scenarios(base, cases, state, sequence_forecast).fillna(OVERALL)
+
+
+def panel_forecast(given):
+    """Something of each input: the encoder's mean, its last position, the hours to come and the code of the series."""
+    known = given["encoder_target"].mean(axis=1) + 0.001 * given["encoder_known"][:, -1, 0] + 0.1 * given["static"][:, 0]
+    return known[:, None] + 0.01 * given["decoder_known"][:, :, 4]
+
+
+@REGISTRY.add("scenario_panel", input_scenario_sql("m + 0.001 * time_idx + 0.1 * code + 0.01 * hour"))
+def _(spark, sf):
+    base = base_table(spark, sf)
+    state = fit_training_state(base, fit_cuts(base))
+    cases = scenarios(("error",), SERIES, HISTORIES, LEAD)
+    return run_panel_scenarios(base, cases, state, panel_forecast).fillna(OVERALL)
+
+
 @REGISTRY.add("scenario_linear")
 def _(spark, sf):
     base = base_table(spark, sf)

@@ -141,3 +141,11 @@ def noise_rename(df: DataFrame) -> DataFrame:
     ]
     added = [f"{quoted(c)} AS {quoted(base)}" for base, c in noisy.items() if base not in df.columns]
     return df.selectExpr(*replaced, *added)
+
+
+def expand_steps(steps: int | Sequence[int] | None, default: int | None = None) -> list[int]:
+    """Steps to build: 1..n for a number, a list as it is, 1..``default`` for None; only step 1 where nothing positive is given."""
+    if steps is not None and not isinstance(steps, int):
+        return list(steps)
+    last = default if steps is None else steps
+    return list(range(1, max(last or 0, 1) + 1))

@@ -49,6 +49,31 @@ def forecast_wide(
     )
 
 
+def quantile_long(
+    df: DataFrame, keep: Sequence[str], quantiles: Sequence[float], truth: str = "y_true", prediction: str = "y_pred"
+) -> DataFrame:
+    """One row per forecast step and quantile: ``keep``, ``lead`` from 1, ``quantile``, ``y_true``, ``y_pred``. The prediction is an
+    array per lead with a value per quantile."""
+    levels = F.array(*[F.lit(float(q)) for q in quantiles])
+    steps = F.arrays_zip(F.col(truth).alias("t"), F.col(prediction).alias("p"))
+    by_lead = df.select(*keep, F.posexplode(steps).alias("_i", "_s"))
+    pairs = F.arrays_zip(levels.alias("q"), F.col("_s.p").alias("p"))
+    spread = by_lead.select(*keep, "_i", F.col("_s.t").alias("_t"), F.explode(pairs).alias("_q"))
+    return spread.select(
+        *keep,
+        (F.col("_i") + 1).alias("lead"),
+        F.col("_q.q").alias("quantile"),
+        number(F.col("_t").cast("double")).alias("y_true"),
+        number(F.col("_q.p").cast("double")).alias("y_pred"),
+    )
+
+
+def _quantile_metrics(quantile: str) -> dict[str, Column]:
+    """Mean quantile loss, and the share of truths at or below the forecast, which a calibrated model has near the quantile."""
+    t, p, q = number(F.col("y_true")), number(F.col("y_pred")), F.col(quantile)
+    return {"pinball": F.avg(F.greatest(q * (t - p), (q - 1) * (t - p))), "covered": F.avg((t <= p).cast("double"))}
+
+
 def _metrics() -> dict[str, Column]:
     """The metrics of a group as aggregates. Variances are those of Spark, which merges centred moments of tasks."""
     t, p = number(F.col("y_true")), number(F.col("y_pred"))
@@ -68,17 +93,19 @@ def _metrics() -> dict[str, Column]:
 
 
 def metrics_by(
-    long: DataFrame, sets: Sequence[Sequence[str]], fixed: Sequence[str] = ()
+    long: DataFrame, sets: Sequence[Sequence[str]], fixed: Sequence[str] = (), quantile: str | None = None
 ) -> DataFrame:
     """The five metrics for several grouping sets from one pass over the forecast rows and one shuffle.
 
     Tasks reduce their rows to one row of centred moments per group of each set, which are merged after the
     shuffle, so no digits are lost to the size of the values. Columns that a set does not use are NULL. Steps with a
-    NULL or NaN do not count; constant truth or prediction gives NULL for correlation and R².
+    NULL or NaN do not count; constant truth or prediction gives NULL for correlation and R². ``quantile`` names a column
+    of quantiles, which is a key of every set and adds ``pinball`` and ``covered``.
     """
+    fixed = [*fixed, quantile] if quantile else fixed
     finest = list(dict.fromkeys([*fixed, *[c for s in sets for c in s]]))
     wanted = [[c for c in finest if c in {*fixed, *s}] for s in sets]
-    metrics = [v.alias(k) for k, v in _metrics().items()]
+    metrics = [v.alias(k) for k, v in (_metrics() | (_quantile_metrics(quantile) if quantile else {})).items()]
     if len(wanted) == 1:
         return long.groupBy(*finest).agg(*metrics)
     return long.groupingSets([[F.col(c) for c in s] for s in wanted], *[F.col(c) for c in finest]).agg(*metrics)

@@ -348,11 +348,13 @@ def sequence_windows(
     drop_nulls: bool = False,
     chunk_rows: int | None = None,
     seconds: int | None = None,
+    histories: Sequence[int] = (),
 ) -> DataFrame:
     """Sliding windows: ``X`` = ``seq_len`` steps of all features, time-major; ``Y`` = next steps.
 
     A row stands for the last input step, whose time and position it carries. Series shorter
-    than ``seq_len + lead`` give no rows. NULLs stay in place unless ``drop_nulls`` is set.
+    than ``seq_len + lead`` give no rows. NULLs stay in place unless ``drop_nulls`` is set. With ``histories``, all at
+    most ``seq_len``, a row appears once per history it is long enough for (column ``seq_len``), all cut in one pass.
     """
     step_x = F.array(*[as_double(df, c) for c in features])
     step_y = F.array(*[as_double(df, c) for c in targets])
@@ -361,11 +363,13 @@ def sequence_windows(
     used = df.select(*unique([*kept, *features, *targets]))
     rows = chunked(
         used, kept, arrays, seq_len - 1, lead, groups, time_col, order, chunk_rows, seconds=seconds
-    ).where(has_past(seq_len) & has_future("_xs", lead))
-    window = F.struct(
-        F.flatten(past("_xs", seq_len)).alias("X"), F.flatten(future("_ys", lead)).alias("Y")
-    )
-    out = rows.select(*kept, "time_idx", cut_out(window))
+    ).where(has_past(min(histories, default=seq_len)) & has_future("_xs", lead))
+    if histories:
+        cuts = [F.struct(F.lit(h).alias("seq_len"), F.when(has_past(h), F.flatten(past("_xs", h))).alias("X"), F.flatten(future("_ys", lead)).alias("Y")) for h in histories]
+        out = rows.select(*kept, "time_idx", F.inline(F.array(*cuts))).where(F.col("X").isNotNull())
+    else:
+        window = F.struct(F.flatten(past("_xs", seq_len)).alias("X"), F.flatten(future("_ys", lead)).alias("Y"))
+        out = rows.select(*kept, "time_idx", cut_out(window))
     return out.where(no_gaps(F.col("X")) & no_gaps(F.col("Y"))) if drop_nulls else out
 
 
@@ -417,34 +421,47 @@ def panel_windows(
     order: Sequence[str] = (),
     chunk_rows: int | None = None,
     observed: Sequence[str] = (),
+    history: str | None = None,
+    static: Sequence[str] = (),
+    histories: Sequence[int] = (),
 ) -> DataFrame:
     """Fixed encoder/decoder windows of a panel frame.
 
     ``encoder_target`` are the observed values, ``decoder_target`` those to forecast, and the
     ``known`` columns are given for every step of both. ``observed`` columns, if any, are given for the
-    encoder's steps alone, as ``encoder_observed``. A row stands for the last encoder step.
+    encoder's steps alone, as ``encoder_observed``. ``history`` names the column that ``encoder_target`` shows, if it is not
+    the target itself (its noisy version, say), and ``static`` columns are given once per window, as the array ``static``.
+    With ``histories``, all at most ``encoder``, a row appears once per encoder length it is long enough for, all cut in one
+    pass. A row stands for the last encoder step.
     """
     step_known = F.array(*[F.col(c).cast("double") for c in known])
     kept = unique([*groups, time_col, *order])
     arrays = {"_ys": as_double(df, target), "_ks": step_known}
+    if history:
+        arrays["_hs"] = as_double(df, history)
     if observed:
         arrays["_os"] = F.array(*[as_double(df, c) for c in observed])
+    carry = [*kept, "static"] if static else kept
+    given = df.withColumn("static", F.array(*[as_double(df, c) for c in static])) if static else df
+    lengths = list(histories) or [encoder]
     rows = chunked(
-        df, kept, arrays, encoder - 1, decoder, groups, time_col, order, chunk_rows, indexed=True
-    ).where(has_past(encoder) & has_future("_ys", decoder))
-    relative = [(i - encoder) / encoder for i in range(encoder + decoder)]
-    window = F.struct(
-        past("_ys", encoder).alias("encoder_target"),
-        future("_ys", decoder).alias("decoder_target"),
-        F.flatten(past("_ks", encoder)).alias("encoder_known"),
-        F.flatten(future("_ks", decoder)).alias("decoder_known"),
-        *([F.flatten(past("_os", encoder)).alias("encoder_observed")] if observed else []),
-    )
-    return rows.select(*kept, "time_idx", cut_out(window)).select(
-        "*",
-        F.lit(encoder).alias("encoder_length"),
-        F.array(*map(F.lit, relative)).alias("relative_time_idx"),
-    )
+        given, carry, arrays, encoder - 1, decoder, groups, time_col, order, chunk_rows, indexed=True
+    ).where(has_past(min(lengths)) & has_future("_ys", decoder))
+
+    def window(h: int) -> Column:
+        relative = [(i - h) / h for i in range(h + decoder)]
+        return F.struct(
+            F.when(has_past(h), past("_hs" if history else "_ys", h)).alias("encoder_target"),
+            future("_ys", decoder).alias("decoder_target"),
+            F.when(has_past(h), F.flatten(past("_ks", h))).alias("encoder_known"),
+            F.flatten(future("_ks", decoder)).alias("decoder_known"),
+            *([F.when(has_past(h), F.flatten(past("_os", h))).alias("encoder_observed")] if observed else []),
+            F.lit(h).alias("encoder_length"),
+            F.array(*map(F.lit, relative)).alias("relative_time_idx"),
+        )
+
+    out = rows.select(*carry, "time_idx", F.inline(F.array(*map(window, lengths))))
+    return out.where(F.col("encoder_target").isNotNull()) if histories else out
 
 
 def min_length_groups(

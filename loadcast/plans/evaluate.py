@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from loadcast.functions.clock import CYCLE_COLUMNS, time_cycle_decode
 from loadcast.functions.noise import noise_array
 from loadcast.operators.encode import label_decode
-from loadcast.operators.metrics import forecast_long, forecast_wide, metrics_by, metrics_by_country
+from loadcast.operators.metrics import forecast_long, forecast_wide, metrics_by, metrics_by_country, quantile_long
 from loadcast.operators.scale import inverse_arrays, scale_inverse
-from loadcast.operators.score import score_external
+from loadcast.operators.score import score_external, score_inputs
 from loadcast.operators.windows import flat_arrays
 
 Predict = Callable[[np.ndarray], np.ndarray]
+PredictInputs = Callable[[dict[str, np.ndarray]], np.ndarray]
 
 
 def naive_forecast(df: DataFrame, season: int, lead: int, x: str = "X") -> DataFrame:
@@ -27,14 +28,16 @@ def naive_forecast(df: DataFrame, season: int, lead: int, x: str = "X") -> DataF
 
 def forecasts(
     windows: DataFrame,
-    predict: Predict,
+    predict: Predict | PredictInputs,
     state: DataFrame | None = None,
     base: str = "quantity_MW",
     dictionary: DataFrame | None = None,
     method: str = "standard",
+    inputs: Mapping[str, int | None] | None = None,
 ) -> DataFrame:
-    """Window keys with ``y_true`` and ``y_pred`` in original units and original labels."""
-    scored = score_external(windows, predict)
+    """Window keys with ``y_true`` and ``y_pred`` in original units and original labels. A model with several
+    ``inputs`` gets them together (``score_inputs``)."""
+    scored = score_inputs(windows, predict, inputs) if inputs else score_external(windows, predict)
     if state is not None:
         scored = inverse_arrays(scored, state, base, ["y_true", "y_pred"], method)
     if dictionary is not None:
@@ -71,12 +74,46 @@ def result_table(
     return forecast_wide(decoded, shown, base, len(targets)).orderBy(country, time_col)
 
 
-def evaluate(windows: DataFrame, predict: Predict, by: Sequence[str] = (), **options) -> DataFrame:
+def evaluate(windows: DataFrame, predict: Predict | PredictInputs, by: Sequence[str] = (), **options) -> DataFrame:
     """The five metrics overall, per step, per series, and per series and step, each per ``by``."""
     scored = forecasts(windows, predict, **options)
     return metrics_by_country(forecast_long(scored, [*by, "country"]), by=by)
 
 
+def quantile_forecasts(
+    windows: DataFrame,
+    predict: PredictInputs,
+    quantiles: Sequence[float],
+    inputs: Mapping[str, int | None],
+    state: DataFrame | None = None,
+    base: str = "quantity_MW",
+    dictionary: DataFrame | None = None,
+    method: str = "standard",
+) -> DataFrame:
+    """Window keys with ``y_true``, an array per window, and ``y_pred``, an array of quantiles per lead, in original units and labels."""
+    n = len(quantiles)
+    scored = score_inputs(windows, predict, inputs, quantiles=n)
+    if state is not None:
+        flat = scored.withColumn("y_pred", F.flatten("y_pred"))
+        plain = inverse_arrays(flat, state, base, ["y_true", "y_pred"], method)
+        leads = (F.size("y_pred") / n).cast("int")
+        steps = F.transform(F.sequence(F.lit(0), leads - 1), lambda i: F.slice("y_pred", i * n + 1, F.lit(n)))
+        scored = plain.withColumn("y_pred", F.when(leads > 0, steps))
+    if dictionary is not None:
+        scored = label_decode(scored, dictionary, ["country"])
+    return scored
+
+
+def evaluate_quantiles(
+    windows: DataFrame, predict: PredictInputs, quantiles: Sequence[float], inputs: Mapping[str, int | None] | None = None, by: Sequence[str] = (), **options
+) -> DataFrame:
+    """The five metrics, the quantile loss and the share of truths covered, per quantile: overall, per step, per series, and per
+    series and step, each per ``by``. ``predict`` returns (rows, leads, quantiles)."""
+    scored = quantile_forecasts(windows, predict, quantiles, inputs or {"X": None}, **options)
+    long = quantile_long(scored, [*by, "country"], quantiles)
+    return metrics_by(long, [[], ["lead"], ["country"], ["country", "lead"]], by, quantile="quantile")
+
+
 def noise_degradation(
     windows: DataFrame,
     predict: Predict,

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import CYCLE_COLUMNS, time_cycle, time_parts
+from loadcast.functions.clock import CYCLE_COLUMNS, TIME_PARTS, time_cycle, time_parts
 from loadcast.functions.columns import NOISE_SUFFIX
 from loadcast.functions.noise import add_noise
 from loadcast.operators.bounds import local_if_bounded
 from loadcast.operators.clean import union_days
-from loadcast.operators.encode import label_encode, label_fit
+from loadcast.operators.encode import apply_codes, label_encode, label_fit
 from loadcast.operators.sample import sample_per_group
 from loadcast.operators.scale import column_std, fit_scaler, scale_transform
 from loadcast.operators.split import SplitCuts, fit_split, split_rows
@@ -22,11 +22,12 @@ from loadcast.operators.windows import (
     flat_matrix,
     flat_windows,
     panel_frame,
+    panel_windows,
     sequence_windows,
     step_columns,
     window_country_id,
 )
-from loadcast.plans.evaluate import Predict, evaluate
+from loadcast.plans.evaluate import Predict, PredictInputs, evaluate
 from loadcast.sources.measurements import filter_countries
 
 VALUE = "quantity_MW"
@@ -38,6 +39,9 @@ DAY = 24
 ALL_COUNTRIES = ("FR", "ES", "PT")
 BASE_FEATURES = ("country", VALUE, *CYCLE_COLUMNS, "year")
 GROUPS = ("split", "country")
+# Inputs of an encoder-decoder model, and the length of a step's vector.
+KNOWN = ("time_idx", *TIME_PARTS)
+PANEL_INPUTS: Mapping[str, int | None] = {"encoder_target": None, "encoder_known": len(KNOWN), "decoder_known": len(KNOWN), "static": None}
 
 
 @dataclass(frozen=True)
@@ -110,7 +114,10 @@ def fit_training_state(rows: DataFrame, cuts: SplitCuts, method: str = "standard
 def with_noise(rows: DataFrame, level: float, seed: int = SEED) -> DataFrame:
     """``quantity_MW_noise``: the value plus noise of ``level`` sample deviations."""
     spread = column_std(rows, [VALUE]).first()[VALUE]
-    key = F.concat_ws("|", "country", F.unix_seconds("datetime").cast("string"))
+    seconds = F.unix_seconds("datetime").cast("string")
+    part = F.unix_micros("datetime") % 1_000_000
+    when = F.when(part == 0, seconds).otherwise(F.concat_ws(".", seconds, part.cast("string")))
+    key = F.concat_ws("|", F.coalesce(F.col("country").cast("string"), F.lit("\\N")), F.coalesce(when, F.lit("\\N")))
     return rows.withColumn(VALUE + NOISE_SUFFIX, add_noise(F.col(VALUE), key, level * (spread or 0.0), seed))
 
 
@@ -189,26 +196,79 @@ def level_windows(
     return named.select("scenario", "split", "country", "datetime", "time_idx", "X", "Y")
 
 
-def run_scenarios(
-    base: DataFrame, cases: Sequence[Scenario], state: TrainingState, predict: Predict, mask_value: float = 0.0
-) -> DataFrame:
-    """Metrics of every scenario in one lazy plan, with a ``scenario`` column.
+def sequence_level(rows: DataFrame, cases: Sequence[Scenario], cuts: SplitCuts, state: TrainingState) -> DataFrame:
+    """``X`` of each case's own length, ``Y``, ``country_id`` and ``scenario`` for cases that differ in name and history only.
 
-    ``base`` should be a written table. Cases that differ in history only share their cut
-    points, their preparation and one window pass; all forecasts are scored and measured
-    together.
+    Noise, if the cases have any, is in ``X`` alone.
+    """
+    prepared, series = prepare(rows, cases[0], cuts, state)
+    features = [series if c == VALUE else c for c in BASE_FEATURES]
+    histories = sorted({c.seq_len for c in cases})
+    windows = sequence_windows(prepared, features, [VALUE], max(histories), cases[0].lead, GROUPS, histories=histories)
+    named = _named(window_country_id(windows), cases, "seq_len")
+    return named.select("scenario", "split", "country", "country_id", "datetime", "time_idx", "X", "Y")
+
+
+def panel_level(rows: DataFrame, cases: Sequence[Scenario], cuts: SplitCuts, state: TrainingState) -> DataFrame:
+    """Encoder, decoder and static arrays, ``Y`` and ``scenario`` for cases that differ in name and history only.
+
+    Noise, if the cases have any, is in ``encoder_target`` alone; what the decoder knows is clock and position.
+    The static array holds the code of the series.
     """
+    case = cases[0]
+    noisy = VALUE + NOISE_SUFFIX if case.noise else None
+    kept = split_rows(with_noise(rows, case.noise) if case.noise else rows, cuts, case.keep)
+    framed = apply_codes(panel_frame(time_parts(kept), GROUPS), state.dictionary, "country", "series_code")
+    histories = sorted({c.seq_len for c in cases})
+    windows = panel_windows(framed, VALUE, max(histories), case.lead, groups=GROUPS, history=noisy, static=["series_code"], histories=histories)
+    named = _named(windows.withColumnRenamed("decoder_target", "Y"), cases, "encoder_length")
+    return named.select("scenario", "split", "country", "datetime", "time_idx", "Y", *PANEL_INPUTS)
+
+
+def _named(windows: DataFrame, cases: Sequence[Scenario], length: str) -> DataFrame:
+    """Windows once per case of their length, with its name."""
+    names = F.array(*[F.struct(F.lit(c.name).alias("scenario"), F.lit(c.seq_len).alias("_h")) for c in cases])
+    return windows.select("*", F.inline(names)).where(F.col("_h") == F.col(length))
+
+
+def levels_of(base: DataFrame, cases: Sequence[Scenario]) -> Iterator[tuple[DataFrame, list[Scenario], SplitCuts]]:
+    """Rows, members and cut points of each set of cases that differ in history only."""
     levels: dict[Scenario, list[Scenario]] = {}
     for case in cases:
         levels.setdefault(replace(case, name="", seq_len=case.lag), []).append(case)
     cuts: dict[tuple, SplitCuts] = {}
-    windows = []
     for level, members in levels.items():
         rows = select_rows(base, level)
         key = (level.countries, level.size)
         if key not in cuts:
             cuts[key] = fit_cuts(rows)
-        windows.append(level_windows(rows, members, cuts[key], state, mask_value))
+        yield rows, members, cuts[key]
+
+
+def run_scenarios(
+    base: DataFrame, cases: Sequence[Scenario], state: TrainingState, predict: Predict, mask_value: float = 0.0
+) -> DataFrame:
+    """Metrics of every scenario in one lazy plan, with a ``scenario`` column.
+
+    ``base`` should be a written table. Cases that differ in history only share their cut
+    points, their preparation and one window pass; all forecasts are scored and measured
+    together.
+    """
+    windows = [level_windows(rows, members, cuts, state, mask_value) for rows, members, cuts in levels_of(base, cases)]
+    return evaluate(
+        union_days(windows),
+        predict,
+        by=["scenario"],
+        state=state.scaler,
+        dictionary=state.dictionary,
+        method=state.method,
+    )
+
+
+def run_sequence_scenarios(base: DataFrame, cases: Sequence[Scenario], state: TrainingState, predict: PredictInputs) -> DataFrame:
+    """As ``run_scenarios``, for models of sequences: ``predict`` gets ``X`` (rows, steps, features) and ``country_id``
+    (rows,), cases of different histories apart."""
+    windows = [sequence_level(rows, members, cuts, state) for rows, members, cuts in levels_of(base, cases)]
     return evaluate(
         union_days(windows),
         predict,
@@ -216,4 +276,12 @@ def run_scenarios(
         state=state.scaler,
         dictionary=state.dictionary,
         method=state.method,
+        inputs={"X": len(BASE_FEATURES), "country_id": 0},
     )
+
+
+def run_panel_scenarios(base: DataFrame, cases: Sequence[Scenario], state: TrainingState, predict: PredictInputs) -> DataFrame:
+    """As ``run_scenarios``, for encoder-decoder models: ``predict`` gets the arrays of ``PANEL_INPUTS`` together. Values are in
+    original units, as such models bring their own normalisation."""
+    windows = [panel_level(rows, members, cuts, state) for rows, members, cuts in levels_of(base, cases)]
+    return evaluate(union_days(windows), predict, by=["scenario"], inputs=PANEL_INPUTS)
