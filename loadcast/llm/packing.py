@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import random
 import struct
 import zlib
@@ -33,7 +34,8 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
 
     A single space between two other characters always starts a new piece of the pre-tokenizer, so a text can be
     cut there and each segment encoded once per worker. Texts with other white space next to a space are
-    encoded whole. Strings of special tokens are ordinary text.
+    encoded whole. Where the string of an added token stands in a text it is that token, and what lies between such
+    strings is encoded by itself, as the tokenizer does with its default settings.
     """
     if path in _encoders:
         return _encoders[path]
@@ -41,10 +43,13 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
 
     with open(path, encoding="utf-8") as f:
         described = json.load(f)
-    special = {token["content"] for token in described.get("added_tokens", [])}
+    added = {token["content"]: token["id"] for token in described.get("added_tokens", [])}
+    if any(token["lstrip"] or token["rstrip"] or token["single_word"] for token in described.get("added_tokens", [])):
+        raise ValueError("added tokens that take in what is beside them are not supported")
+    between = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
     byte_of = _byte_of()
     ranks = {
-        bytes(byte_of[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in special
+        bytes(byte_of[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in added
     }
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     whole = own.encode_ordinary
@@ -55,6 +60,15 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
         return struct.pack(f"<{len(found)}I", *found)
 
     def encode(text: str) -> bytes:
+        if between is None or not between.search(text):
+            return plain(text)
+        out, at = [], 0
+        for m in between.finditer(text):
+            out += [plain(text[at : m.start()]), struct.pack("<I", added[m[0]])]
+            at = m.end()
+        return b"".join([*out, plain(text[at:])])
+
+    def plain(text: str) -> bytes:
         segments = text.split(" ")
         if len(segments) == 1:
             return ids(text)

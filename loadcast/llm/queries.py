@@ -10,7 +10,12 @@ from loadcast.llm import centroids, chat, codebooks, imatch, langid, mixing, nei
 from loadcast.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
-PII_KEY = "loadcast-pseudonyms"
+#: Where the key of pseudonyms is read from; without it a published one stands in, which hides nothing from who knows it.
+PII_SETTING, PII_KEY = "spark.loadcast.pseudonym.key", "loadcast-pseudonyms"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_SETTING, None) or PII_KEY
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, found_col="replaced")
+    return pii.pseudonymise(docs, pii_key(spark), found_col="replaced")
 
 
 def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

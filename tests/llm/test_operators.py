@@ -474,9 +474,8 @@ def test_what_is_not_valid_stays(spark):
 def test_encoder_is_the_tokenizer(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     encode = packing.encoder(path, public_tokenizers.PATTERN)
-    odd = ["", " ", "a  b", "a \n b", " a", "a ", "\n", "a\n\nb c", "<|endoftext|> x", "x's 's t", "a\x1c b", "\u3000a b", "日本 語 x", "1 23  4"]
+    odd = ["", " ", "a  b", "a \n b", " a", "a ", "\n", "a\n\nb c", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|><|endoftext|>", " <|endoftext|> ", "<|endoftext| >", "x's 's t", "a\x1c b", "\u3000a b", "日本 語 x", "1 23  4"]
     for text in [*odd, *(r.text for r in docs.where("doc_id < 60").collect())]:
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -511,6 +510,55 @@ def test_genetic_algorithm_betters_best_fit():
     assert (child >= 0).all() and np.bincount(child, weights=lengths).max() <= 2048
 
 
+def fewest_bins(lengths, size):
+    """The exact optimum, by trying every bin for each item."""
+    best = [len(lengths)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for room in {b: None for b in bins}:
+            if room >= lengths[i]:
+                at = bins.index(room)
+                put(i + 1, [*bins[:at], room - lengths[i], *bins[at + 1 :]])
+        put(i + 1, [*bins, size - lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_genetic_algorithm_lies_between_the_optimum_and_best_fit():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        lengths = np.sort(rng.integers(15, 60, 10))[::-1].copy()
+        plain = packing._best_fit(np.full(10, -1), np.zeros(0, dtype=np.int64), np.arange(10), lengths, 100).max() + 1
+        best = packing.evolve(lengths, 100, random.Random(seed), [])[0]
+        assert np.bincount(best, weights=lengths).max() <= 100
+        assert fewest_bins(lengths.tolist(), 100) <= best.max() + 1 <= plain
+
+
+def test_genetic_algorithm_wins_where_best_fit_does_not():
+    """Items cut from full bins: best fit in falling order needs more bins than there were, crossover fewer than that."""
+    won = 0
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        lengths = []
+        for _ in range(60):
+            a = int(rng.integers(300, 480))
+            b = int(rng.integers(200, (1000 - a) // 2 + 1))
+            lengths += [a, b, 1000 - a - b]
+        lengths = np.array(lengths)
+        order = np.argsort(-lengths, kind="stable")
+        plain = packing._best_fit(np.full(180, -1), np.zeros(0, dtype=np.int64), order, lengths, 1000).max() + 1
+        best = packing.evolve(lengths, 1000, random.Random(seed), [])[0].max() + 1
+        assert 60 <= best <= plain
+        won += best < plain
+    assert won >= 3
+
+
 # Mixing
 
 
