@@ -46,7 +46,7 @@ from loadcast.sources.datasets import (
     write_panel_split,
     write_seq_split,
 )
-from loadcast.sources.documents import build_load_xml, land_documents, parse_load_xml, request_grid
+from loadcast.sources.documents import build_load_xml, land_documents, parse_load_periods, parse_load_xml, read_load_periods, request_grid
 from loadcast.sources.measurements import (
     as_measurements,
     load_state,
@@ -90,6 +90,20 @@ def _(spark, sf):
     return parse_load_xml(build_load_xml(raw(spark, sf).groupBy(minute, "country").agg(first)))
 
 
+@REGISTRY.add(
+    "parse_load_periods",
+    f"WITH {RAW}, minutely AS (SELECT date_trunc('minute', raw.datetime) AS datetime, country, "
+    "first(quantity_MW ORDER BY raw.datetime, event_id) AS v FROM raw GROUP BY 1, 2) "
+    "SELECT country, (epoch(datetime - date_trunc('day', datetime)) / 60)::INTEGER + 1 AS position, "
+    f"{r('v', 'quantity_MW')}, strftime(datetime, '%Y-%m-%dT00:00Z') AS period_start, 'PT1M' AS resolution, datetime FROM minutely",
+)
+def _(spark, sf):
+    minute = F.date_trunc("minute", "datetime").alias("datetime")
+    first = F.min_by(VALUE, F.struct("datetime", "event_id")).alias(VALUE)
+    documents = build_load_xml(raw(spark, sf).groupBy(minute, "country").agg(first))
+    return parse_load_periods(read_load_periods(spark, land_documents(documents, scratch_path(spark, "landed"))))
+
+
 @REGISTRY.add("collect_load", (
     f"WITH {RAW}, minutely AS (SELECT date_trunc('minute', raw.datetime) AS datetime, country, "
     "first(quantity_MW ORDER BY raw.datetime, event_id) AS v FROM raw GROUP BY 1, 2) "

@@ -60,9 +60,13 @@ def parse_load_xml(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("coun
     nested = F.flatten(F.transform(F.col("_doc.TimeSeries"), lambda s: F.coalesce(s["Period"], F.array())))
     none = F.array().cast(f"array<{_PERIOD}>")
     periods = F.concat(F.coalesce(nested, none), F.coalesce(F.col("_doc.Period"), none))
+    return _points(parsed.select(*keep, F.explode(periods).alias("_p")), keep)
+
+
+def _points(periods: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per complete point of the periods ``_p``."""
     points = (
-        parsed.select(*keep, F.explode(periods).alias("_p"))
-        .select(
+        periods.select(
             *keep,
             F.col("_p.timeInterval.start").alias("period_start"),
             F.col("_p.resolution").alias("resolution"),
@@ -82,6 +86,38 @@ def parse_load_xml(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("coun
     )
 
 
+def read_load_periods(spark: SparkSession, path: str, tag: str = "Period") -> DataFrame:
+    """Landed files, one period per row as ``xml``; folders ``country=XX`` give the series.
+
+    Files are read as text records that end where a period does, so a document of any size, in one line or many, is split
+    among tasks and no row is longer than a period and what stands before it. ``tag`` is the element's name as written, with
+    its prefix if it has one. A file that breaks off inside a period ends in a row that is not XML, which
+    ``corrupt_periods`` counts; what follows the last period of a file is no row.
+    """
+    parts = spark.read.option("lineSep", f"</{tag}>").text(path).withColumnRenamed("value", "xml")
+    begun = F.regexp_extract("xml", rf"(?s)^.*(<{tag}[\s>].*)$", 1)
+    whole = F.concat(begun, F.lit(f"</{tag}>"))
+    return parts.select(whole.alias("xml"), *[c for c in parts.columns if c != "xml"], begun.alias("_begun")).where("_begun <> ''").drop("_begun")
+
+
+def parse_load_periods(df: DataFrame, xml: str = "xml", keep: Sequence[str] = ("country",)) -> DataFrame:
+    """As ``parse_load_xml``, from rows of one period each; periods that cannot be read give no rows (``corrupt_periods``)."""
+    return _points(_parsed_periods(df, xml, keep), keep)
+
+
+def corrupt_periods(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """How many periods there are, and how many of them cannot be read as XML."""
+    parsed = _parsed_periods(df, xml, ())
+    bad = F.col("_p._corrupt").isNotNull() | F.col("_p").isNull()
+    return parsed.agg(F.count(F.lit(1)).alias("periods"), F.count_if(bad).alias("corrupt"))
+
+
+def _parsed_periods(df: DataFrame, xml: str, keep: Sequence[str]) -> DataFrame:
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    schema = _PERIOD.removesuffix(">") + ", _corrupt: string>"
+    return df.select(*keep, F.from_xml(F.col(xml), schema, options).alias("_p"))
+
+
 def unread_points(points: DataFrame) -> DataFrame:
     """How many parsed points have no time, by resolution and whether the period's start could be read."""
     unread = points.where(F.col("datetime").isNull())
@@ -93,7 +129,7 @@ def build_load_xml(df: DataFrame, minutes: int = 1) -> DataFrame:
     """Readings as documents: one per series and day, with a point per ``minutes`` step.
 
     The rows must hold at most one reading per step, which bounds a document by the steps of
-    a day. The inverse of ``parse_load_xml``, to land measurements in the same format.
+    a day; a second one is an error. The inverse of ``parse_load_xml``, to land measurements in the same format.
     """
     day = F.date_trunc("day", "datetime")
     offset = F.unix_seconds("datetime") - F.unix_seconds(day)
@@ -101,7 +137,10 @@ def build_load_xml(df: DataFrame, minutes: int = 1) -> DataFrame:
         (F.floor(offset / (60 * minutes)) + 1).cast("int").alias("position"),
         F.col("quantity_MW").alias("quantity"),
     )
-    days = df.groupBy("country", day.alias("_day")).agg(F.sort_array(F.collect_list(point)).alias("_points"))
+    held = F.sort_array(F.collect_list(point))
+    steps = F.array_distinct(F.transform(held, lambda p: p["position"]))
+    once = F.when(F.size(steps) == F.size(held), held).otherwise(F.raise_error(F.lit("two readings in one step")))
+    days = df.groupBy("country", day.alias("_day")).agg(once.alias("_points"))
     period = F.struct(
         F.struct(F.date_format("_day", "yyyy-MM-dd'T'HH:mm'Z'").alias("start")).alias("timeInterval"),
         F.lit(f"PT{minutes}M").alias("resolution"),
