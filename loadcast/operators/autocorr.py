@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.columns import as_double, null_safe
@@ -55,32 +55,36 @@ def pacf(
 ) -> DataFrame:
     """Partial autocorrelation (Yule-Walker) for lags 0..``lags``: ``country, lag, pacf, band``.
 
-    The recursion works on the autocorrelations of one series, ``lags + 1`` numbers.
+    The recursion runs over the array of a series' autocorrelations, ``lags + 1`` numbers, as an expression.
     """
     table = acf(df, lags, value, group, time_col, order)
-    series_type = table.schema[group].dataType.simpleString()
-
-    def recursion(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("lag")
-        r = pdf["acf"].to_numpy(dtype=float)
-        out = np.full(len(r), np.nan)
-        out[:1] = 1.0 if len(r) and np.isfinite(r[0]) else np.nan
-        phi = np.zeros(0)
-        for k in range(1, len(r)):
-            left = 1.0 - phi @ r[1:k]
-            if not np.isfinite(left) or left <= 0:
-                break
-            last = (r[k] - phi @ r[k - 1 : 0 : -1]) / left
-            phi = np.append(phi - last * phi[::-1], last)
-            out[k] = last
-        return pd.DataFrame({group: pdf[group].to_numpy(), "lag": pdf["lag"].to_numpy(), "pacf": out, "n": pdf["n"].to_numpy()})
-
-    solved = table.groupBy(group).applyInPandas(
-        recursion, f"`{group}` {series_type}, lag int, pacf double, n bigint"
+    lists = table.groupBy(group).agg(
+        F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_r"), F.first("n").alias("_n")
     )
-    band = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(Z95 / F.sqrt("n"))
-    value_or_null = F.when(~F.isnan("pacf"), F.col("pacf"))
-    return solved.select(group, "lag", value_or_null.alias("pacf"), band.alias("band"))
+    solved = lists.select(group, "_n", F.posexplode(_levinson(F.col("_r.acf"))).alias("lag", "pacf"))
+    band = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(Z95 / F.sqrt("_n"))
+    return solved.select(group, "lag", "pacf", band.alias("band"))
+
+
+def _levinson(r: Column) -> Column:
+    """Partial autocorrelations from the autocorrelations r[0], r[1], …; NULL from where no variance is left on."""
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+    def step(state: Column, k: Column) -> Column:
+        phi, seen = state["phi"], F.slice(r, F.lit(2), k - 1)
+        left = 1.0 - dot(phi, seen)
+        last = F.when(state["going"] & (left > 0), (F.get(r, k) - dot(phi, F.reverse(seen))) / left)
+
+        def extended(found: Column) -> Column:
+            longer = F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - found * b), F.array(found))
+            return F.struct(longer.alias("phi"), F.concat(state["out"], F.array(found)).alias("out"), found.isNotNull().alias("going"))
+
+        return F.get(F.transform(F.array(last), extended), F.lit(0))
+
+    none = F.array().cast("array<double>")
+    first = F.when(F.get(r, F.lit(0)).isNotNull(), 1.0)
+    start = F.struct(none.alias("phi"), F.array(first).alias("out"), first.isNotNull().alias("going"))
+    later = F.slice(F.sequence(F.lit(0), F.size(r)), F.lit(2), F.size(r) - 1)
+    return F.aggregate(later, start, step, lambda state: state["out"])
