@@ -24,7 +24,7 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION, CHILDREN, ELITES = 2, 2, 6, 5, 4, 2
 #: Bins filled less than this enter the second season, where shards are formed anew.
 WELL_FILLED = 0.985
 #: Entries of a worker's table of encoded segments; it starts afresh beyond them, which changes no result.
-SEGMENTS = 1_000_000
+SEGMENTS = 200_000
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
