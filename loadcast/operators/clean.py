@@ -103,7 +103,9 @@ def ffill(
     keys = ["_group", "_bucket"]
     placed = dealt(in_buckets(df, groups, time_col, order, seconds, rows, small_bytes), groups)
     # A single order column keeps the aggregation on a hash table.
-    position = F.struct(time_col, *order) if order else F.col(time_col)
+    # NULLs come last, as among the rows of a bucket.
+    ranks = [x for i, c in enumerate((time_col, *order)) for x in (F.col(c).isNull().alias(f"null{i}"), F.col(c).alias(f"value{i}"))]
+    position = F.struct(*ranks) if order else F.col(time_col)
     last = F.max_by(value, F.when(F.col(value).isNotNull(), position))
     earlier = (
         Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
