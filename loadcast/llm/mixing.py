@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.llm.common import BROADCAST_ROWS, WORD, cut, ranked, small
+from loadcast.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, WORD, cut, ranked, small
 
 #: Relative weight of a source over training time, for its weight class: (time, factor) with times from 0 to 1.
 SCHEDULES = (
@@ -17,6 +17,8 @@ SCHEDULES = (
 )
 #: Cells of the hash range, as bits, and the orders of its documents that a source may choose from.
 CELL_BITS, ORDERS = 12, 8
+#: Bytes of the lines of all sources that are broadcast at most.
+SOURCE_BYTES = BROADCAST_BYTES
 OWN = ("size", "source_size", "target", "copies", "positions")
 
 
@@ -50,13 +52,19 @@ def curriculum(
 
     Null text has size 0, null source is a source of its own (the last). Repeated rows and equal ids share
     their hash and so their copies. Rows of a source without words have target 0, no copies and empty
-    positions. An empty table gives no rows. Extra columns are kept, but those named like the new ones are
-    replaced.
+    positions. An empty table gives no rows. Extra columns are kept, whatever their names, but those named like the new
+    ones are replaced.
     """
-    kept = [c for c in docs.columns if c not in OWN]
-    rows = docs.select(*kept, word_count(text_col).alias("size"), F.col(source_col).alias("_source"))
+    kept = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in OWN}
+    # Columns go by numbers until the end, so none can be named like a helper.
+    plain = docs.select(
+        *[F.col(f"`{c}`").alias(n) for n, c in kept.items()],
+        word_count(F.col(f"`{text_col}`")).alias("size"),
+        F.col(f"`{source_col}`").alias("_source"),
+        F.col(f"`{id_col}`").alias("_id"),
+    )
     orders = F.array(*[F.lit(seed * 1000 + i) for i in range(ORDERS)])
-    spread = rows.select("_source", "size", F.col(id_col).alias("_id"), F.explode(orders).alias("_order"))
+    spread = plain.select("_source", "size", "_id", F.explode(orders).alias("_order"))
     cells = cut(
         spread.groupBy("_source", "_order", _cell(F.xxhash64("_order", "_id")).alias("_cell")).agg(
             F.sum("size").alias("_words")
@@ -72,29 +80,17 @@ def curriculum(
     need = F.col("target") - F.col("_rounds") * whole
     # The end of a part is the start of a cell; cells of several documents may be cut inside, so they miss by less.
     miss = F.min(F.least(F.abs(need - F.col("_start")), F.abs(need - F.col("_start") - F.col("_words"))))
-    by_order = placed.groupBy("_source", "_order").agg(miss.alias("_miss"))
-    chosen = by_order.groupBy("_source").agg(F.min(F.struct("_miss", "_order")).alias("_best"))
-    chosen = cut(chosen.select("_source", F.col("_best._order").alias("_order")))
-    o = chosen.alias("o")
-    mine = placed.alias("q").join(
+    by_order = placed.groupBy("_source", "_order", "source_size", "target", "_class", "_rounds").agg(miss.alias("_miss"))
+    best = by_order.groupBy("_source", "source_size", "target", "_class", "_rounds").agg(F.min(F.struct("_miss", "_order")).alias("_best"))
+    chosen = cut(best.select("*", F.col("_best._order").alias("_order")).drop("_best"))
+    o = chosen.select("_source", "_order").alias("o")
+    mine = starts.alias("q").join(
         o, F.col("q._source").eqNullSafe(F.col("o._source")) & (F.col("q._order") == F.col("o._order")), "left_semi"
     )
-    mine = cut(mine.select("_source", "_cell", "_words", "_start", "source_size", "target", "_class", "_rounds"))
-    looked_up = small(mine, mine.count(), BROADCAST_ROWS).alias("p")
-    ordered = rows.alias("d").join(
-        small(chosen, chosen.count(), BROADCAST_ROWS).alias("o"), F.col("d._source").eqNullSafe(F.col("o._source"))
-    )
-    h = F.xxhash64("o._order", F.col(f"d.{id_col}"))
-    rows = ordered.select("d.*", _cell(h).alias("_cell"), (h.bitwiseAND(F.lit(_REST)) / F.lit(float(_REST + 1))).alias("_share"))
-    joined = rows.alias("r").join(
-        looked_up,
-        F.col("r._source").eqNullSafe(F.col("p._source")) & (F.col("r._cell") == F.col("p._cell")),
-    )
+    rows = _looked_up(plain, chosen, mine)
     size = F.col("size")
     middle = F.col("_start") + F.col("_share") * (F.col("_words") - size) + size / 2
-    with_place = joined.select(
-        *[f"r.{c}" for c in kept], "size", "source_size", "target", "_class", "_rounds", middle.alias("_middle")
-    )
+    with_place = rows.select(*kept, "size", "source_size", "target", "_class", "_rounds", middle.alias("_middle"))
     extra = F.col("_middle") < F.col("target") - F.col("_rounds") * whole
     copies = F.when(F.col("target") > 0, F.col("_rounds") + extra.cast("int")).otherwise(0).alias("copies")
     taken = with_place.select("*", copies)
@@ -102,7 +98,36 @@ def curriculum(
         F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>")),
         lambda k: _time(F.least((k * whole + F.col("_middle")) / F.col("target"), F.lit(1.0)), F.col("_class"), schedules),
     )
-    return taken.select(*kept, "size", "source_size", "target", "copies", at.alias("positions"))
+    # Names come back in a step of their own: inside a lambda, an alias given beside it would go before the column.
+    placed = taken.select(*kept, "size", "source_size", "target", "copies", at.alias("positions"))
+    return placed.select(*[F.col(n).alias(c) for n, c in kept.items()], *OWN)
+
+
+def _looked_up(rows: DataFrame, chosen: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows with what is known of their source, their share of their cell, and the cell's start and words.
+
+    A source is one row with the starts of all its cells as an array (33 kB), broadcast while the counted bytes of all
+    sources are within ``SOURCE_BYTES``. With more sources, rows are joined by source and cell in a shuffle.
+    """
+    n, names = chosen.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("_source").cast("string")))).first()
+    lines = n * ((1 << CELL_BITS) + 1) * 8 + (names or 0)
+    h = F.xxhash64("o._order", "d._id")
+    share = (h.bitwiseAND(F.lit(_REST)) / F.lit(float(_REST + 1))).alias("_share")
+    same = F.col("d._source").eqNullSafe(F.col("o._source"))
+    known = [F.col(f"o.{c}") for c in ("source_size", "target", "_class", "_rounds")]
+    if lines > SOURCE_BYTES:
+        cell = rows.alias("d").join(small(chosen, n, BROADCAST_ROWS).alias("o"), same).select("d.*", *known, _cell(h).alias("_cell"), share)
+        mine = F.col("r._source").eqNullSafe(F.col("p._source")) & (F.col("r._cell") == F.col("p._cell"))
+        return cell.alias("r").join(cells.alias("p"), mine).select("r.*", "p._start", "p._words")
+    grid = chosen.select("_source", F.explode(F.sequence(F.lit(0), F.lit((1 << CELL_BITS) - 1))).alias("_cell"))
+    there = F.col("g._source").eqNullSafe(F.col("w._source")) & (F.col("g._cell") == F.col("w._cell"))
+    filled = grid.alias("g").join(cells.alias("w"), there, "left").select("g._source", "g._cell", F.coalesce("w._words", F.lit(0)).alias("_words"))
+    before = Window.partitionBy("_source").orderBy("_cell")
+    ends = filled.select("_source", F.struct("_cell", F.sum("_words").over(before).alias("_end")).alias("_at"))
+    line = ends.groupBy("_source").agg(F.sort_array(F.collect_list("_at"))["_end"].alias("_ends")).alias("l")
+    sources = chosen.alias("s").join(line, F.col("s._source").eqNullSafe(F.col("l._source"))).select("s.*", F.concat(F.array(F.lit(0)), "l._ends").alias("_starts"))
+    start, end = F.get("o._starts", _cell(h)), F.get("o._starts", _cell(h) + 1)
+    return rows.alias("d").join(F.broadcast(cut(sources)).alias("o"), same).select("d.*", *known, share, start.alias("_start"), (end - start).alias("_words"))
 
 
 _REST = (1 << (64 - CELL_BITS)) - 1

@@ -605,6 +605,24 @@ def test_targets_and_copies(spark, docs):
     assert mixing.curriculum(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("most_bytes", [mixing.SOURCE_BYTES, 0])
+def test_sums_looked_up_either_way(spark, docs, monkeypatch, most_bytes):
+    """Lines of sources as broadcast arrays and cells in a shuffle give the places of a plain line of words; no name clashes."""
+    monkeypatch.setattr(mixing, "SOURCE_BYTES", most_bytes)
+    helpers = ["_source", "_cell", "_share", "_start", "_words", "_rounds", "_class", "_middle", "_order", "_id", "_starts", "c0", "a.b"]
+    rows = docs.select("doc_id", "text", "source", *[F.lit(i).alias(c) for i, c in enumerate(helpers)])
+    out = mixing.curriculum(rows)
+    assert out.columns == [*rows.columns, *mixing.OWN]
+    assert out.select(*[F.col(f"`{c}`") for c in helpers]).distinct().collect() == [tuple(range(len(helpers)))]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("ReusedExchange" in plan or "hashpartitioning" in plan) == (most_bytes == 0)
+    monkeypatch.undo()
+    near = [F.round("target", 6), F.transform("positions", lambda x: F.round(x, 9)).cast("string")]
+    want = mixing.curriculum(docs.select("doc_id", "text", "source")).select("doc_id", "copies", *near)
+    assert out.select("doc_id", "copies", *near).exceptAll(want).collect() == []
+    assert mixing.in_order(out).count() == out.agg(F.sum("copies")).first()[0]
+
+
 def test_schedule_is_followed(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
     out = mixing.in_order(mixing.curriculum(rows)).toPandas()
