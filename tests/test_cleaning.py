@@ -115,3 +115,25 @@ def test_noise_column_takes_the_name_and_place(spark):
     out = noise_rename(df)
     assert out.columns == ["v", "k"] and out.first().v == 1.5
     assert noise_rename(df.select("k", F.col("v_noise"))).columns == ["k", "v"]
+
+
+def test_first_of_an_hour_by_time_and_integer_key(spark):
+    """As a plain sort by (time, key): extreme, negative and missing keys, any zone, and no sort in the plan."""
+    keys = [0, -1, 7, -(1 << 63), (1 << 63) - 1, None]
+    rows = [(s, t, k, float(100 * t + i)) for s in ("a", None) for t in (-5, 0, 1, 1799, 1800, 3599, 3600, 253_402_300_799) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "country string, t long, key long, quantity_MW double").select("*", F.timestamp_seconds("t").alias("datetime"))
+    one = df.where("t != 1800 or key is not null").where("t != 0 or key > 0")
+    for zone in ("UTC", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            for kind in ("bigint", "string"):
+                typed = one.withColumn("key", F.col("key").cast(kind)) if kind == "bigint" else one.withColumn("key", F.lpad((F.col("key").cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0"))
+                got = hourly_first(typed.repartition(3), ["key"])
+                hours = {(r.country, r.datetime): r.quantity_MW for r in got.collect()}
+                if kind == "bigint":
+                    fast = hours
+                    plan = got._jdf.queryExecution().executedPlan().toString()
+                    assert "HashAggregate" in plan and "SortAggregate" not in plan
+            assert fast == hours and len(hours) == got.count()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
