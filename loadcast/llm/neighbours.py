@@ -154,7 +154,8 @@ def nearest(
     Equal vectors are indexed and searched once, with their k + 1 smallest ids, which is all that their answers can
     need; so neither a common vector nor a common query is a hot key. The trees are fitted on a hash sample of
     at most ``SAMPLE`` distinct vectors, and every vector is indexed in a cell of each tree. Vectors and queries
-    that meet in a cell are compared there; scores are computed in double precision from the vectors as given.
+    that meet in a cell are compared there; scores are computed in double precision from the vectors as given, scaled by
+    powers of two only, so very large and very small components neither overflow nor vanish.
     For a hash sample of ``PROBES`` queries all vectors are compared, and every query visits at least as many cells as
     reach ``REACH`` of their true neighbours, so visits grow with the table as recall needs.
     Should any query have found fewer than k, all are searched again with more visits, up to all cells.
@@ -243,6 +244,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-300)
 
 
+def _even(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component between 0.5 and 1: the same cosines to the
+    last bit, without overflow or underflow in their products."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -281,8 +288,8 @@ def _answers(distinct: DataFrame, searched: DataFrame, asked: DataFrame, shared,
             t = pa.Table.from_batches(stretch).combine_chunks()
             tree, cell, asks, key, ids = (t.column(c).to_numpy() for c in names[:5])
             v = _matrix(t.column("v").combine_chunks(), dim)
+            u, v = _unit(v), _even(v)
             size = np.linalg.norm(v, axis=1)
-            u = _unit(v)
             edges = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (cell[1:] != cell[:-1]), True])
             out: list[list] = [[], [], [], []]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):

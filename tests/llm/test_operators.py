@@ -272,6 +272,23 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_cosines_of_very_large_and_small_vectors(spark):
+    base = np.random.default_rng(8).normal(size=(120, 6))
+    sizes = [(1.0, 1e200, 1e-200, 1.7e308 / np.abs(base).max(), 2.0**-1000)[i % 5] for i in range(120)]
+    df = spark.createDataFrame([(i, (v * c).tolist()) for i, (v, c) in enumerate(zip(base, sizes))], "vec_id long, embedding array<double>")
+    size = np.linalg.norm(base, axis=1)
+    cos = (base @ base.T) / np.outer(size, size)
+    found = neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect()
+    assert len(found) == 12 * 5
+    for r in found:
+        order = [i for i in np.argsort(-cos[r.query_id]) if i != r.query_id]
+        assert r.vec_id == order[r["rank"] - 1] and r.score == pytest.approx(cos[r.query_id, r.vec_id], abs=1e-12)
+    plain = base[:50].astype(np.float32).astype(float)
+    even = neighbours._even(plain)
+    norms = [np.linalg.norm(x, axis=1) for x in (plain, even)]
+    assert ((plain[:25] * plain[25:]).sum(axis=1) / (norms[0][:25] * norms[0][25:]) == (even[:25] * even[25:]).sum(axis=1) / (norms[1][:25] * norms[1][25:])).all()
+
+
 def test_visits_grow_until_recall_is_reached(spark):
     base = np.random.default_rng(6).normal(size=(6000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>").repartition(4)
