@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import langid, mixing, overlap, packing, pii
+from loadcast.llm import langid, mixing, overlap, packing, pii, simhash
 from loadcast.llm.common import remove, shared_folder, table
 from loadcast.llm.queries import TOKENIZER, pii_key
 
@@ -19,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id stays."""
-    return overlap.deduplicate(docs)
+    """Of documents linked by SimHash, or by 0.8 of their five-word shingles, the one with the smallest id stays."""
+    return overlap.deduplicate(docs, found=simhash.near_duplicates(docs))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", known_language),
-    ("near-dedup", one_of_near_copies),
+    ("SimHash near-dedup", one_of_near_copies),
     ("PII pseudonyms", pseudonyms),
     ("source mixture", mixture),
     ("best-fit packing", packed),

@@ -108,13 +108,25 @@ def near_links(texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links_of_rows(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) from the ``fp`` of each row's text to that of its keeper, for rows (key, keeper) linked by another rule."""
+    texts = cut(known.select("key", "fp").distinct())
+    others = found.where("key != keeper").select("key", "keeper").distinct()
+    pairs = others.join(texts, "key").select("keeper", F.col("fp").alias("a")).distinct()
+    ends = texts.select(F.col("key").alias("keeper"), F.col("fp").alias("b"))
+    return pairs.join(ends, "keeper").where("a != b").select("a", "b").distinct()
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """The documents with one row of each component of near copies: that with the least id (null last).
 
     Two texts are linked if they share at least 0.8 (Jaccard) of their distinct five-word shingles; a shorter text is
     one shingle. Texts of one set of shingles are one node. Nodes that share a band are joined to candidate clusters,
     which hold every component whole; inside a cluster the whole texts of pairs that share a band are compared.
     Texts without words are copies of each other. All columns are kept as they are.
+
+    ``found`` are rows (key, keeper) as ``simhash.near_duplicates`` returns them: rows with one keeper are linked too,
+    and components are whatever links of both rules reach together.
     """
     known = cut(prints(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
@@ -129,5 +141,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     rows = docs.select(row_key(id_col, text_col).alias("_row_key"), F.col(text_col).alias("text"))
     texts = rows.join(small(candidates, candidates.count()), "_row_key").dropDuplicates(["fp"])
-    roots = components(near_links(texts), "a", "b")
+    links = near_links(texts)
+    if found is not None:
+        links = links.unionAll(links_of_rows(known, found))
+    roots = components(links, "a", "b")
     return keepers(docs, members(known, classes, roots), id_col, text_col)

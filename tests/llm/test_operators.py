@@ -198,6 +198,20 @@ def test_stage_joins_texts_with_most_shingles_in_common(spark, docs, monkeypatch
     assert overlap.deduplicate(empty(spark)).count() == 0
 
 
+def test_stage_joins_what_simhash_links(spark):
+    again, tails = "ka lo mi ne pu ri so ", [" ".join(f"{t}{i}" for i in range(30)) for t in "xyz"]
+    texts = {11: again * 200 + tails[0], 12: again * 200 + tails[1], 13: again + tails[1], 14: again + tails[2], 15: again + tails[2]}
+    rows = [(i, t, "xa", "s", 1) for i, t in texts.items()] + [(None, texts[12], "xa", "s", 1)] * 2
+    both = spark.createDataFrame(rows, DOCS).repartition(3)
+    far = [[(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 2 for b in texts.values()] for a in texts.values()]
+    near = [[overlap.near(overlap.shingles(a), overlap.shingles(b)) for b in texts.values()] for a in texts.values()]
+    assert not far[0][1] and not near[0][1], "11 and 12 are linked by SimHash alone"
+    assert far[1][2] and near[1][2] and not near[0][2], "12 and 13 by their shingles alone"
+    kept = corpus_pipeline.one_of_near_copies(spark, both, "")
+    assert kept.columns == both.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [11, 14]
+
+
 # Chat
 
 
